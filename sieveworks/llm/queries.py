@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .html_text import op10_html_text
 from .language import op9_language
+from .licenses import op1_licenses
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op4_toxicity": op4_toxicity,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql()}
