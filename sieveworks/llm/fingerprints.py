@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches, all in DataFrame and SQL functions.
 
-A text is the set of its paragraphs' digests: its lines, and for short texts also the runs of a
-few words within each line, so that an edit of one long line leaves something in common. Each
+A text is the set of its paragraphs' digests: its lines, and for short texts and long lines also the
+runs of some words within a line, so that an edit of one long line leaves something in common. Each
 digest goes to one cell in each of three parts of the sketch; a cell holds a count, the xor of its
 digests and the xor of their check values. Subtracting the sketches of two versions cancels what
 they share; peeling cells that hold a single digest recovers the digests only one version has.
@@ -21,60 +21,152 @@ CELLS = 24
 RETRY = 3
 RETRIES = 9
 ROUNDS = 24
-#: Texts of fewer code points are also cut into runs of this many words.
-SHORT, RUN = 1000, 6
+#: The lines of texts of fewer code points are also cut into runs of RUN words, other long lines into runs of LONG_RUN words.
+SHORT, RUN, LONG, LONG_RUN = 1000, 4, 400, 32
 #: Documents in each ordered range, about; and the most ranges.
 RANGE_ROWS, RANGES = 4096, 4096
 
 
 def units(text: str) -> str:
     """SQL: the distinct paragraph digests of a text, as structs of digest d and check value x."""
+    size = f"if(length({text}) < {SHORT}, {RUN}, {LONG_RUN})"
     runs = (
-        f"flatten(transform(filter(split({text}, '\\n'), l -> l <> ''), l -> transform(array(split(l, ' ')), w -> "
-        f"transform(sequence(0, cast((size(w) - 1) / {RUN} as int)), i -> concat('w|', array_join(slice(w, i * {RUN} + 1, {RUN}), ' '))))[0]))"
+        f"flatten(transform(filter(split({text}, '\\n'), l -> l <> '' and (length({text}) < {SHORT} or length(l) > {LONG})), l -> transform(array(split(l, ' ')), w -> "
+        f"transform(sequence(0, cast((size(w) - 1) / {size} as int)), i -> concat('w|', array_join(slice(w, i * {size} + 1, {size}), ' '))))[0]))"
     )
     lines = f"transform(filter(split({text}, '\\n'), l -> l <> ''), l -> concat('l|', l))"
     return (
-        f"transform(array_distinct(transform(if(length({text}) < {SHORT}, concat({lines}, {runs}), {lines}), u -> xxhash64(u))), "
+        f"transform(array_distinct(transform(concat({lines}, {runs}), u -> xxhash64(u))), "
         f"d -> named_struct('d', d, 'x', xxhash64(d, 'check')))"
     )
 
 
-def place(d: str, part: str, cells: int) -> str:
-    return f"({part} * {cells // PARTS} + pmod(xxhash64({d}, {part}), {cells // PARTS}))"
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body with value, computed once, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def sketch(u: str, cells: int) -> str:
+def placed(u: str, cells: str) -> str:
+    """SQL: units with their cell in each part."""
+    at = ", ".join(f"'p{i}', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS})" for i in range(PARTS))
+    return f"transform({u}, e -> named_struct('d', e.d, 'x', e.x, {at}))"
+
+
+def in_cell(j: str, cells: str) -> str:
+    return f"(case {j} div ({cells} div {PARTS}) when 0 then e.p0 when 1 then e.p1 else e.p2 end) = {j}"
+
+
+def sketch(u: str, cells: str) -> str:
     """SQL: the cells of a set of units."""
-    return (
-        f"transform(sequence(0, {cells - 1}), j -> aggregate(filter({u}, e -> {place('e.d', f'cast(j div {cells // PARTS} as int)', cells)} = j), "
-        f"named_struct('n', 0, 'd', 0L, 'x', 0L), (a, e) -> named_struct('n', a.n + 1, 'd', a.d ^ e.d, 'x', a.x ^ e.x)))"
-    )
+    own = f"aggregate(filter(v, e -> {in_cell('j', cells)}), named_struct('n', 0, 'd', 0L, 'x', 0L), (a, e) -> named_struct('n', a.n + 1, 'd', a.d ^ e.d, 'x', a.x ^ e.x))"
+    return let("v", placed(u, cells), f"transform(sequence(0, cast({cells} as int) - 1), j -> {own})")
 
 
-def peel(a: str, b: str, cells: int) -> str:
-    """SQL: what only sketch a and only sketch b hold (la, lb), and whether all cells came out empty."""
+def peel(a: str, b: str, cells: str) -> str:
+    """SQL: how many digests only sketch a and only sketch b hold (la, lb), and whether all cells came out empty."""
     empty = "not exists(s.c, y -> y.n <> 0 or y.d <> 0 or y.x <> 0)"
     pure = "array_distinct(transform(filter(s.c, y -> abs(y.n) = 1 and xxhash64(y.d, 'check') = y.x), y -> named_struct('n', y.n, 'd', y.d, 'x', y.x)))"
-    taken = (
-        f"transform(s.c, (y, j) -> aggregate(filter(p, e -> {place('e.d', f'cast(j div {cells // PARTS} as int)', cells)} = j), y, "
-        "(q, e) -> named_struct('n', q.n - e.n, 'd', q.d ^ e.d, 'x', q.x ^ e.x)))"
-    )
-    step = (
-        f"if({empty}, s, transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', {taken}, "
-        "'la', s.la + size(filter(p, e -> e.n = 1)), 'lb', s.lb + size(filter(p, e -> e.n = -1)))))[0])"
-    )
+    at = ", ".join(f"'p{i}', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS})" for i in range(PARTS))
+    found = f"transform({pure}, e -> named_struct('n', e.n, 'd', e.d, 'x', e.x, {at}))"
+    rest = f"transform(s.c, (y, j) -> aggregate(filter(p, e -> {in_cell('j', cells)}), y, (q, e) -> named_struct('n', q.n - e.n, 'd', q.d ^ e.d, 'x', q.x ^ e.x)))"
+    step = let("p", found, f"if(size(p) = 0, s, named_struct('c', {rest}, 'la', s.la + size(filter(p, e -> e.n = 1)), 'lb', s.lb + size(filter(p, e -> e.n = -1))))")
     start = f"named_struct('c', zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'd', x.d ^ y.d, 'x', x.x ^ y.x)), 'la', 0, 'lb', 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step}, s -> named_struct('la', s.la, 'lb', s.lb, 'done', {empty}))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if({empty}, s, {step}), s -> named_struct('la', s.la, 'lb', s.lb, 'done', {empty}))"
 
 
 def difference(ua: str, ub: str, sa: str, sb: str) -> str:
-    """SQL: sizes of the two one-sided differences, retrying with larger sketches until peeling ends."""
-    # the last resort is an exact difference: several in a billion texts come to it
-    out = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
-    for r in range(RETRIES, 0, -1):
-        cells = CELLS * RETRY**r
-        # a sketch of fewer cells than the sizes differ by can't be peeled, nor need one far beyond all digests
-        again = f"transform(array({peel(sketch(ua, cells), sketch(ub, cells), cells)}), r -> if(r.done, r, {out}))[0]"
-        out = f"if(abs(size({ua}) - size({ub})) > {cells}, {out}, {again})"
-    return f"transform(array({peel(sa, sb, CELLS)}), r -> if(r.done, r, {out}))[0]"
+    """SQL: sizes of the two one-sided differences (la, lb), retrying with larger sketches until peeling ends.
+
+    Sketches with fewer cells than the set sizes differ by can't be peeled and are passed over. Should the
+    largest fail too, the sets themselves are compared."""
+    cells = f"({CELLS} * cast(power({RETRY}, r) as bigint))"
+    again = let("z", cells, peel(sketch(ua, "z"), sketch(ub, "z"), "z"))
+    tries = f"aggregate(sequence(1, {RETRIES}), {peel(sa, sb, str(CELLS))}, (t, r) -> if(t.done or abs(size({ua}) - size({ub})) > {cells}, t, {again}))"
+    exact = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
+    return let("o", tries, f"if(o.done, o, {exact})")
+
+
+def likeness(ua: str, ub: str, sa: str, sb: str) -> str:
+    """SQL: shared digests by all digests, from the recovered differences; 1 for two sets without digests."""
+    return let("f", difference(ua, ub, sa, sb), f"if(size({ua}) + f.lb = 0, 1D, cast(size({ua}) - f.la as double) / (size({ua}) + f.lb))")
+
+
+def as_text(text: str, u: str, cells: str) -> str:
+    """SQL: the fingerprint: number of digests, hash of the text, then every cell, in hexadecimal."""
+    return (
+        f"concat(hex(size({u})), '-', lpad(hex(xxhash64({text})), 16, '0'), '-', "
+        f"array_join(transform({cells}, y -> concat(hex(y.n), '.', lpad(hex(y.d), 16, '0'), lpad(hex(y.x), 16, '0'))), ''))"
+    )
+
+
+def followed(docs: DataFrame, *, order: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """docs with the text of the next row in descending order, the first row following the last; and that column's name.
+
+    Rows are dealt into ranges of about RANGE_ROWS rows by percentiles of the order column, each sorted on its
+    own; copies of the first rows of a range go along to the end of the range before it. Null ids come last,
+    equal ids by text, null texts first, as empty texts. Only percentiles and one maximum per range reach the driver."""
+    taken = [*docs.columns]
+    names = []
+    for x in ("range", "copy", "bounds", "next_text"):
+        names.append(fresh(x, taken))
+        taken.append(names[-1])
+    rng, copy, _, nxt = names
+    ids = docs.select(F.col(order).alias("k"))
+    n = ids.count()
+    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
+    cuts = sorted(set(ids.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("p")).first()["p"] or [])) if ranges > 1 else []
+    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+
+    def number(c: Column) -> Column:
+        # range 0 holds the largest ids; null ids go to a range of their own, the last
+        return F.when(c.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.size(F.filter(bounds, lambda x: x <= c)))
+
+    tops = sorted((r["b"], r["top"]) for r in ids.groupBy(number(F.col("k")).alias("b")).agg(F.max("k").alias("top")).collect())
+    # a range's largest id goes along to the end of the nonempty range before it, the first range's to the last
+    before = {b: tops[i - 1][0] for i, (b, _) in enumerate(tops)}
+    top = F.create_map(*[F.lit(x) for b, t in tops for x in (b, t)]) if tops else F.create_map().cast("map<int,bigint>")
+    prior = F.create_map(*[F.lit(x) for b, t in before.items() for x in (b, t)]) if tops else F.create_map().cast("map<int,int>")
+    own = number(F.col(order))
+    both = F.when(F.col(order).eqNullSafe(top[own]), F.array(F.struct(own.alias("r"), F.lit(0).alias("c")), F.struct(prior[own].alias("r"), F.lit(1).alias("c"))))
+    spread = docs.withColumn(copy, F.explode(F.coalesce(both, F.array(F.struct(own.alias("r"), F.lit(0).alias("c"))))))
+    spread = spread.withColumn(rng, F.col(f"{copy}.r")).withColumn(copy, F.col(f"{copy}.c"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(rng).orderBy(copy, F.col(order).desc_nulls_last(), F.col(text).asc_nulls_first())
+    out = spread.withColumn(nxt, F.coalesce(F.lead(text).over(w), F.lit("")))
+    return out.where(F.col(copy) == 0).drop(copy, rng), nxt
+
+
+def fingerprint(docs: DataFrame, *, text: str = "text", other: str, likeness_as: str, fingerprint_as: str) -> DataFrame:
+    """docs with the fingerprints of two text columns and their likeness."""
+    a, b = f"coalesce({text}, '')", f"coalesce({other}, '')"
+    n = {x: fresh(x, docs.columns) for x in ("ua", "ub", "sa", "sb")}
+    out = docs.withColumn(n["ua"], F.expr(units(a))).withColumn(n["ub"], F.expr(units(b)))
+    out = out.withColumn(n["sa"], F.expr(sketch(n["ua"], str(CELLS)))).withColumn(n["sb"], F.expr(sketch(n["ub"], str(CELLS))))
+    out = out.withColumn(likeness_as, F.expr(likeness(n["ua"], n["ub"], n["sa"], n["sb"]))).withColumn(fingerprint_as, F.expr(as_text(a, n["ua"], n["sa"])))
+    return out.drop(*n.values())
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    The edited text is the text with its last third replaced by the start of the next document. A null text is empty;
+    a table of one row follows itself; repeated rows follow each other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, nxt = followed(docs)
+    third = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col(nxt).substr(F.lit(1), third))
+    rows = rows.select("doc_id", "text", F.col(nxt).alias("next"), edited.alias("edited"))
+    for x in ("text", "edited", "next"):
+        rows = rows.withColumn(f"u_{x}", F.expr(units(x)))
+    for x in ("text", "edited", "next"):
+        rows = rows.withColumn(f"s_{x}", F.expr(sketch(f"u_{x}", str(CELLS))))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.expr(as_text("text", "u_text", "s_text")).alias("fingerprint"),
+        F.expr(as_text("edited", "u_edited", "s_edited")).alias("edited_fingerprint"),
+        F.expr(likeness("u_text", "u_edited", "s_text", "s_edited")).alias("near_edited"),
+        F.expr(likeness("u_text", "u_next", "s_text", "s_next")).alias("near_next"),
+    )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
+from .fingerprints import op6_fingerprints
 from .html_text import op10_html_text
 from .language import op9_language
 from .licenses import op1_licenses
@@ -15,6 +16,7 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op4_toxicity": op4_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
 }
