@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, topk
 from .fingerprints import op6_fingerprints
 from .html_text import op10_html_text
 from .language import op9_language
 from .licenses import op1_licenses
+from .topk import op7_topk
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op4_toxicity": op4_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_topk": op7_topk,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(), "op7_topk": topk.ORACLE_SQL}
