@@ -12,6 +12,7 @@ from .html_text import op10_html_text
 from .language import op9_language
 from .licenses import op1_licenses
 from .mixing import op2_mixing
+from .packing import op5_packing
 from .topk import op7_topk
 from .toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_topk": op7_topk,
     "op9_language": op9_language,
