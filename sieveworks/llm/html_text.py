@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, mapped, table
 
 # fixed values: elements by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, *, source: str = "html") -> tuple[DataFrame, str]:
                 texts = [main_text(x) for x in part.column(source).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])), name
+    return mapped(pages, run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])), name
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

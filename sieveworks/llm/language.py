@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, fresh, table
+from .common import fold_of, fresh, mapped, table
 from .crf import BIAS, Crf, Scorer, fit
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -120,7 +120,7 @@ def label(docs: DataFrame, crf: Crf, *, text: str = "text") -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(runs, RUNS_ARROW)], names=[*part.schema.names, *n])
 
     more = [T.StructField(n[0], T.StringType()), T.StructField(n[1], T.DoubleType()), T.StructField(n[2], RUNS)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more])), *n
+    return mapped(docs, run, T.StructType([*docs.schema.fields, *more])), *n
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

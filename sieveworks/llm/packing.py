@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import mapped, table, written
 
 CAPACITY = 2048
 END = 0
@@ -113,7 +113,7 @@ def tokenized(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", pat
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(out, fields, strict=True)], names=[n for n, _ in fields])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(ident).cast("long"), F.col(text)), run, schema)
 
 
 # the plan, on the driver: everything here is bounded by the capacity, not by the number of pieces
@@ -274,7 +274,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(own[:, 2] + nth), pa.array(own[:, 4] + slot * length)], names=[*(b.schema.names[i] for i in rest), "sequence_id", "offset"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
-    return ranked.mapInArrow(run, f"{rest}, sequence_id long, offset long").select(*pieces.columns, "sequence_id", "offset")
+    return mapped(ranked, run, f"{rest}, sequence_id long, offset long").select(*pieces.columns, "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, *, ids: bool = False, **how) -> DataFrame:

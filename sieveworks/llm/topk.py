@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 #: Queries that one pass over the vectors carries; the bound of what is broadcast.
 PASS = 8192
@@ -80,7 +80,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_
     out = None
     for i in range(passes):
         rows = own.where(slot == i).collect()
-        found = all_rows.mapInArrow(_shards(spark, [(r["id"], r["v"]) for r in rows], k), "query_id long, vec_id long, score long")
+        found = mapped(all_rows, _shards(spark, [(r["id"], r["v"]) for r in rows], k), "query_id long, vec_id long, score long")
         out = found if out is None else out.union(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

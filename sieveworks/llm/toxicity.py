@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, fresh, table
+from .common import fold_of, fresh, mapped, table
 from .crf import BIAS, Crf, Scorer, fit
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, SPANS_ARROW)], names=[*part.schema.names, s, p])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(s, T.DoubleType()), T.StructField(p, SPANS)])
-    return docs.mapInArrow(run, schema), s, p
+    return mapped(docs, run, schema), s, p
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
