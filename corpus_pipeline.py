@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveworks.llm import language, toxicity
-from sieveworks.llm.common import table, written
+from sieveworks.llm import language, mixing, neardup, packing, toxicity
+from sieveworks.llm.common import fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,39 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= language.REJECT)).select(docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of the least id.
+
+    Rows without id get a negative one from their text. Rows that repeat an id count as one; of them the least text stays."""
+    key, nth = fresh("key", docs.columns), fresh("nth", docs.columns)
+    made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
+    groups = written(neardup.near_duplicates(keyed, k=5, similarity=0.8, ident=key).select("id", "component"), "groups")
+    if groups.count() < keyed.count():
+        w = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_first(), *[F.col(c).cast("string") for c in docs.columns])
+        keyed = keyed.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
+    gone = groups.where("id <> component").select(F.col("id").alias(key))
+    few = gone.count() <= neardup.BROADCAST_ROWS
+    return keyed.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights of their sources; some twice, some not at all."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with sequence and offset."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Trained fields, hashing and rounding are not SQL; the tests hold the stages against brute force.
+#: Trained fields and the choice of draws are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

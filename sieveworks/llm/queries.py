@@ -14,6 +14,7 @@ from .licenses import op1_licenses
 from .mixing import op2_mixing
 from .neardup import op3_near_duplicates
 from .packing import op5_packing
+from .quotations import op8_quotations
 from .topk import op7_topk
 from .toxicity import op4_toxicity
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_topk": op7_topk,
+    "op8_quotations": op8_quotations,
     "op9_language": op9_language,
     "op10_html_text": op10_html_text,
 }
