@@ -1 +1 @@
-
+"""Tables and file trees as DataFrames."""
