@@ -37,7 +37,7 @@ def units(text: str) -> str:
     lines = f"transform(filter(split({text}, '\\n'), l -> l <> ''), l -> concat('l|', l))"
     return (
         f"transform(array_distinct(transform(concat({lines}, {runs}), u -> xxhash64(u))), "
-        f"d -> named_struct('d', d, 'x', xxhash64(d, 'check')))"
+        f"d -> named_struct('n', 1, 'd', d, 'x', xxhash64(d, 'check')))"
     )
 
 
@@ -46,32 +46,37 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def placed(u: str, cells: str) -> str:
-    """SQL: units with their cell in each part."""
-    at = ", ".join(f"'p{i}', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS})" for i in range(PARTS))
-    return f"transform({u}, e -> named_struct('d', e.d, 'x', e.x, {at}))"
+def entries(u: str, sign: int, cells: str) -> str:
+    """SQL: for every unit its cell in each part (j), with a count of sign, its digest and its check value."""
+    each = ", ".join(f"named_struct('j', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS}), 'n', {sign} * e.n, 'd', e.d, 'x', e.x)" for i in range(PARTS))
+    return f"flatten(transform({u}, e -> array({each})))"
 
 
-def in_cell(j: str, cells: str) -> str:
-    return f"(case {j} div ({cells} div {PARTS}) when 0 then e.p0 when 1 then e.p1 else e.p2 end) = {j}"
+def merged(e: str) -> str:
+    """SQL: entries summed by cell, ordered by cell, empty cells left out: sorted, cut where the cell changes, folded run by run."""
+    fold = "aggregate(slice(v, q + 1, coalesce(get(w, k + 1), size(v)) - q), named_struct('j', v[q].j, 'n', 0, 'd', 0L, 'x', 0L), (a, y) -> named_struct('j', a.j, 'n', a.n + y.n, 'd', a.d ^ y.d, 'x', a.x ^ y.x))"
+    starts = "filter(sequence(0, size(v) - 1), i -> i = 0 or v[i].j <> v[i - 1].j)"
+    cells = let("w", starts, f"filter(transform(w, (q, k) -> {fold}), y -> y.n <> 0 or y.d <> 0 or y.x <> 0)")
+    return let("v", f"sort_array({e})", f"if(size(v) = 0, v, {cells})")
 
 
 def sketch(u: str, cells: str) -> str:
-    """SQL: the cells of a set of units."""
-    own = f"aggregate(filter(v, e -> {in_cell('j', cells)}), named_struct('n', 0, 'd', 0L, 'x', 0L), (a, e) -> named_struct('n', a.n + 1, 'd', a.d ^ e.d, 'x', a.x ^ e.x))"
-    return let("v", placed(u, cells), f"transform(sequence(0, cast({cells} as int) - 1), j -> {own})")
+    """SQL: the cells of a set of units that are not empty, in order."""
+    return merged(entries(u, 1, cells))
 
 
-def peel(a: str, b: str, cells: str) -> str:
-    """SQL: how many digests only sketch a and only sketch b hold (la, lb), and whether all cells came out empty."""
-    empty = "not exists(s.c, y -> y.n <> 0 or y.d <> 0 or y.x <> 0)"
+def peel(start: str, cells: str) -> str:
+    """SQL: of the difference of two sketches, how many digests only the first (la) and the second (lb) holds, and whether all came out."""
     pure = "array_distinct(transform(filter(s.c, y -> abs(y.n) = 1 and xxhash64(y.d, 'check') = y.x), y -> named_struct('n', y.n, 'd', y.d, 'x', y.x)))"
-    at = ", ".join(f"'p{i}', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS})" for i in range(PARTS))
-    found = f"transform({pure}, e -> named_struct('n', e.n, 'd', e.d, 'x', e.x, {at}))"
-    rest = f"transform(s.c, (y, j) -> aggregate(filter(p, e -> {in_cell('j', cells)}), y, (q, e) -> named_struct('n', q.n - e.n, 'd', q.d ^ e.d, 'x', q.x ^ e.x)))"
-    step = let("p", found, f"if(size(p) = 0, s, named_struct('c', {rest}, 'la', s.la + size(filter(p, e -> e.n = 1)), 'lb', s.lb + size(filter(p, e -> e.n = -1))))")
-    start = f"named_struct('c', zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'd', x.d ^ y.d, 'x', x.x ^ y.x)), 'la', 0, 'lb', 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> if({empty}, s, {step}), s -> named_struct('la', s.la, 'lb', s.lb, 'done', {empty}))"
+    rest = merged(f"concat(s.c, {entries('p', -1, cells)})")
+    step = let("p", pure, f"named_struct('c', if(size(p) = 0, s.c, {rest}), 'la', s.la + size(filter(p, e -> e.n = 1)), 'lb', s.lb + size(filter(p, e -> e.n = -1)), 'stuck', size(p) = 0)")
+    first = f"named_struct('c', {start}, 'la', 0, 'lb', 0, 'stuck', false)"
+    return f"aggregate(sequence(1, {ROUNDS}), {first}, (s, i) -> if(s.stuck or size(s.c) = 0, s, {step}), s -> named_struct('la', s.la, 'lb', s.lb, 'done', size(s.c) = 0))"
+
+
+def minus(a: str, b: str) -> str:
+    """SQL: the difference of two sketches."""
+    return merged(f"concat({a}, transform({b}, e -> named_struct('j', e.j, 'n', -e.n, 'd', e.d, 'x', e.x)))")
 
 
 def difference(ua: str, ub: str, sa: str, sb: str) -> str:
@@ -79,9 +84,10 @@ def difference(ua: str, ub: str, sa: str, sb: str) -> str:
 
     Sketches with fewer cells than the set sizes differ by can't be peeled and are passed over. Should the
     largest fail too, the sets themselves are compared."""
-    cells = f"({CELLS} * cast(power({RETRY}, r) as bigint))"
-    again = let("z", cells, peel(sketch(ua, "z"), sketch(ub, "z"), "z"))
-    tries = f"aggregate(sequence(1, {RETRIES}), {peel(sa, sb, str(CELLS))}, (t, r) -> if(t.done or abs(size({ua}) - size({ub})) > {cells}, t, {again}))"
+    cells = f"({CELLS} * cast(power({RETRY}, r) as int))"
+    again = let("z", cells, peel(minus(sketch(ua, "z"), sketch(ub, "z")), "z"))
+    first = peel(minus(sa, sb), str(CELLS))
+    tries = f"aggregate(sequence(1, {RETRIES}), {first}, (t, r) -> if(t.done or abs(size({ua}) - size({ub})) > {cells}, t, {again}))"
     exact = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
     return let("o", tries, f"if(o.done, o, {exact})")
 
@@ -92,10 +98,10 @@ def likeness(ua: str, ub: str, sa: str, sb: str) -> str:
 
 
 def as_text(text: str, u: str, cells: str) -> str:
-    """SQL: the fingerprint: number of digests, hash of the text, then every cell, in hexadecimal."""
+    """SQL: the fingerprint: number of digests, hash of the text, then every cell that is not empty, in hexadecimal."""
     return (
         f"concat(hex(size({u})), '-', lpad(hex(xxhash64({text})), 16, '0'), '-', "
-        f"array_join(transform({cells}, y -> concat(hex(y.n), '.', lpad(hex(y.d), 16, '0'), lpad(hex(y.x), 16, '0'))), ''))"
+        f"array_join(transform({cells}, y -> concat(hex(y.j), '.', hex(y.n), '.', lpad(hex(y.d), 16, '0'), lpad(hex(y.x), 16, '0'))), ';'))"
     )
 
 
