@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions.dialect import DUCK, SPARK, Dialect
-from sieveworks.operators import bytestats, chunks, grid
+from sieveworks.operators import bytestats, chunks, experiments, grid, rules
 from sieveworks.sources.tables import register, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,7 @@ STATEMENTS: dict[str, Callable[[Dialect], str]] = {
     for f in (
         chunks.chunk_dedup, chunks.chunk_totals, chunks.file_refs, chunks.reassemble_hash, chunks.verify_refs, chunks.exact_duplicates, chunks.store_size, chunks.multiset_equal, chunks.list_catalog, chunks.path_safety, chunks.archive_names,
         grid.delimiter_counts, grid.delimiter_pick, grid.jsonish_lines, grid.uniform_grid, grid.edge_parts, grid.column_profile, grid.column_decision, grid.wrapper_sizes, grid.delta_roundtrip, grid.inverse_rows, grid.canonical_int, grid.canonical_date, grid.varint_lengths, grid.strided_sample,
+        *rules.STATEMENTS, *experiments.STATEMENTS,
     )
 }
 
