@@ -18,8 +18,8 @@ from .common import fresh, table
 PARTS = 3
 #: Cells of the fingerprint itself; each retry has RETRY times as many.
 CELLS = 24
-RETRY = 3
-RETRIES = 9
+RETRY = 9
+RETRIES = 5
 ROUNDS = 24
 #: The lines of texts of fewer code points are also cut into runs of RUN words, other long lines into runs of LONG_RUN words.
 SHORT, RUN, LONG, LONG_RUN = 1000, 4, 400, 32
@@ -27,25 +27,25 @@ SHORT, RUN, LONG, LONG_RUN = 1000, 4, 400, 32
 RANGE_ROWS, RANGES = 4096, 4096
 
 
-def units(text: str) -> str:
-    """SQL: the distinct paragraph digests of a text, as structs of digest d and check value x."""
-    size = f"if(length({text}) < {SHORT}, {RUN}, {LONG_RUN})"
-    runs = (
-        f"flatten(transform(filter(split({text}, '\\n'), l -> l <> '' and (length({text}) < {SHORT} or length(l) > {LONG})), l -> transform(array(split(l, ' ')), w -> "
-        f"transform(sequence(0, cast((size(w) - 1) / {size} as int)), i -> concat('w|', array_join(slice(w, i * {size} + 1, {size}), ' '))))[0]))"
-    )
-    lines = f"transform(filter(split({text}, '\\n'), l -> l <> ''), l -> concat('l|', l))"
-    return (
-        f"transform(array_distinct(transform(concat({lines}, {runs}), u -> xxhash64(u))), "
-        f"d -> named_struct('n', 1, 'd', d, 'x', xxhash64(d, 'check')))"
-    )
-
-
 def let(name: str, value: str, body: str) -> str:
     """SQL: body with value, computed once, under a name."""
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def units(text: str) -> str:
+    """SQL: the distinct paragraph digests of a text, as structs of digest d and check value x, each counted once (n)."""
+    size = f"if(k, {RUN}, {LONG_RUN})"
+    runs = (
+        f"flatten(transform(filter(v, l -> k or length(l) > {LONG}), l -> "
+        + let("w", "split(l, ' ')", f"transform(sequence(0, cast((size(w) - 1) / {size} as int)), i -> xxhash64('w', array_join(slice(w, i * {size} + 1, {size}), ' ')))")
+        + "))"
+    )
+    lines = "transform(v, l -> xxhash64('l', l))"
+    # whether the text is short is found once, not for every line
+    digests = let("v", f"filter(split({text}, '\n'), l -> l <> '')", let("k", f"length({text}) < {SHORT}", f"array_distinct(concat({lines}, {runs}))"))
+    return f"transform({digests}, d -> named_struct('n', 1, 'd', d, 'x', xxhash64(d, 'check')))"
+
+
 def entries(u: str, sign: int, cells: str) -> str:
     """SQL: for every unit its cell in each part (j), with a count of sign, its digest and its check value."""
     each = ", ".join(f"named_struct('j', {i} * ({cells} div {PARTS}) + pmod(xxhash64(e.d, {i}), {cells} div {PARTS}), 'n', {sign} * e.n, 'd', e.d, 'x', e.x)" for i in range(PARTS))
@@ -56,7 +56,8 @@ def merged(e: str) -> str:
     """SQL: entries summed by cell, ordered by cell, empty cells left out: sorted, cut where the cell changes, folded run by run."""
     fold = "aggregate(slice(v, q + 1, coalesce(get(w, k + 1), size(v)) - q), named_struct('j', v[q].j, 'n', 0, 'd', 0L, 'x', 0L), (a, y) -> named_struct('j', a.j, 'n', a.n + y.n, 'd', a.d ^ y.d, 'x', a.x ^ y.x))"
     starts = "filter(sequence(0, size(v) - 1), i -> i = 0 or v[i].j <> v[i - 1].j)"
-    cells = let("w", starts, f"filter(transform(w, (q, k) -> {fold}), y -> y.n <> 0 or y.d <> 0 or y.x <> 0)")
+    own = f"if(coalesce(get(w, k + 1), size(v)) - q = 1, v[q], {fold})"
+    cells = let("w", starts, f"filter(transform(w, (q, k) -> {own}), y -> y.n <> 0 or y.d <> 0 or y.x <> 0)")
     return let("v", f"sort_array({e})", f"if(size(v) = 0, v, {cells})")
 
 
@@ -85,7 +86,8 @@ def difference(ua: str, ub: str, sa: str, sb: str) -> str:
     Sketches with fewer cells than the set sizes differ by can't be peeled and are passed over. Should the
     largest fail too, the sets themselves are compared."""
     cells = f"({CELLS} * cast(power({RETRY}, r) as int))"
-    again = let("z", cells, peel(minus(sketch(ua, "z"), sketch(ub, "z")), "z"))
+    # the difference of the larger sketches, summed in one go: the second version's entries count negative
+    again = let("z", cells, peel(merged(f"concat({entries(ua, 1, 'z')}, {entries(ub, -1, 'z')})"), "z"))
     first = peel(minus(sa, sb), str(CELLS))
     tries = f"aggregate(sequence(1, {RETRIES}), {first}, (t, r) -> if(t.done or abs(size({ua}) - size({ub})) > {cells}, t, {again}))"
     exact = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
