@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions.dialect import DUCK, SPARK, Dialect
-from sieveworks.operators import bytestats, chunks, experiments, grid, rules
+from sieveworks.operators import bytestats, chunks, codecs, experiments, grid, rules
 from sieveworks.sources.tables import register, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,22 @@ def characterize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.characterize(spark)
 
 
+def of_chunks(operator: Callable[[DataFrame], DataFrame], size: int = 4096) -> Query:
+    """An operator over the unique chunks of documents: digest and bytes in hexadecimal."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        pieces = spark.sql(chunks.pieces(SPARK, size)).groupBy(F.sha2("hx", 256).alias("chunk")).agg(F.first("hx").alias("hx"))
+        return operator(pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk"))
+
+    run.__doc__ = operator.__doc__
+    return run
+
+
+def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.train_dictionary(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
 STATEMENTS: dict[str, Callable[[Dialect], str]] = {
     f.__name__: f
     for f in (
@@ -54,6 +70,10 @@ _ENTROPY = f"WITH {_BYTES}, c AS (SELECT doc_id, v, count(*) AS n FROM v GROUP B
 _SIG = f"WITH {_BYTES}, c AS (SELECT doc_id, v // 16 AS k, count(*) AS n FROM v GROUP BY ALL), g AS (SELECT doc_id, k, coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY doc_id))::DOUBLE AS x FROM (SELECT DISTINCT doc_id FROM c) a CROSS JOIN range(16) r(k) LEFT JOIN c USING (doc_id, k))"
 
 OWN: dict[str, tuple[Query, str | None]] = {
+    "mode_sizes": (of_chunks(codecs.mode_sizes), None),
+    "block_modes": (of_chunks(lambda c: codecs.mode_sizes(c).groupBy("mode").agg(F.count("*").alias("chunks"), F.sum("raw").alias("raw"), F.sum("best").alias("best"))), None),
+    "fold_sweep": (of_chunks(codecs.fold_sweep, 16384), None),
+    "train_dictionary": (train_dictionary, None),
     "characterize": (characterize, grid.characterize_sql(DUCK)),
     "byte_histogram": (of_files(bytestats.histogram), f"WITH {_BYTES} SELECT doc_id, v AS byte, count(*) AS n FROM v GROUP BY ALL"),
     "byte_entropy": (of_files(bytestats.entropy), _ENTROPY),
