@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ ROUNDS, STEP, RATE = 160, 0.02, 12.0
 #: Tokens that a configuration used in whole may leave free.
 SPARE = 1
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 
 def tokenizer_path() -> str:
@@ -62,21 +63,22 @@ def encoder(path: str):
     latin = "A-Za-zÀ-ÖØ-öø-ʯ"
     plain = re.compile(rf"[\x00-\x1b!-~ {latin}]*\Z").match
     cut_plain = re.compile(rf" ?[{latin}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\t-\r {latin}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
-    known: dict[str, bytes] = {}
+    own = tok.encode
+
+    class Words(dict):
+        """The ids of words; a new word is encoded when it is first looked up, and kept while there is room."""
+
+        def __missing__(self, word: str) -> bytes:
+            ids = own(word, add_special_tokens=False).ids
+            found = pack_ids(f"<{len(ids)}I", *ids)
+            if len(self) < CACHE:
+                self[word] = found
+            return found
+
+    find = Words().__getitem__
 
     def encode(text: str) -> bytes:
-        words = cut_plain(text) if plain(text) else cut(text)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)}
-            if len(new) > CACHE:
-                return b"".join(known.get(w) or own[w] for w in words)
-            known.update(own)
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(find, cut_plain(text) if plain(text) else cut(text)))
 
     return encode
 
