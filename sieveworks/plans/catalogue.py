@@ -55,6 +55,11 @@ def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.train_dictionary(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+def dictionary_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(r["l"], r["r"]) for r in train_dictionary(spark, sf_dir).orderBy("rule_id").collect()]
+    return codecs.dictionary_cover(table(spark, sf_dir, "documents"), rules)
+
+
 STATEMENTS: dict[str, Callable[[Dialect], str]] = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ OWN: dict[str, tuple[Query, str | None]] = {
     "block_modes": (of_chunks(lambda c: codecs.mode_sizes(c).groupBy("mode").agg(F.count("*").alias("chunks"), F.sum("raw").alias("raw"), F.sum("best").alias("best"))), None),
     "fold_sweep": (of_chunks(codecs.fold_sweep, 16384), None),
     "train_dictionary": (train_dictionary, None),
+    "dictionary_cover": (dictionary_cover, None),
     "characterize": (characterize, grid.characterize_sql(DUCK)),
     "byte_histogram": (of_files(bytestats.histogram), f"WITH {_BYTES} SELECT doc_id, v AS byte, count(*) AS n FROM v GROUP BY ALL"),
     "byte_entropy": (of_files(bytestats.entropy), _ENTROPY),
