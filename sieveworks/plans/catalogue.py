@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions.dialect import DUCK, SPARK, Dialect
-from sieveworks.operators import bytestats, chunks, codecs, experiments, grid, rules
+from sieveworks.operators import bytestats, chunks, codecs, experiments, grammar, grid, layout, rules
 from sieveworks.sources.tables import register, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,22 @@ def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.train_dictionary(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+def measured_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over orders rendered as text, the lines of 500 keys to a chunk."""
+    register(spark, sf_dir)
+    line = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice AS decimal(18, 2)), cast(o_orderdate AS date), o_orderpriority)"
+    text = f"SELECT o_orderkey div 500 AS k, concat(array_join(transform(array_sort(collect_list(struct(o_orderkey AS o, {line} AS v))), p -> p.v), chr(10)), chr(10)) AS text FROM orders GROUP BY o_orderkey div 500"
+    return layout.measured_gate(spark.sql(f"SELECT cast(k AS string) AS chunk, hex(encode(text, 'UTF-8')) AS hx FROM ({text}) t"))
+
+
+def persistent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source is an archive of its unique chunks, in the order of their first places."""
+    register(spark, sf_dir)
+    pieces = spark.sql(chunks.pieces(SPARK, 4096)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    unique = pieces.groupBy(F.coalesce("source", F.lit("")).alias("archive"), F.sha2("hx", 256).alias("h")).agg(F.min(F.col("doc_id") * (1 << 20) + F.col("pos")).alias("seq"), F.first("hx").alias("hx"))
+    return grammar.persistent_fold(unique)
+
+
 def dictionary_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [(r["l"], r["r"]) for r in train_dictionary(spark, sf_dir).orderBy("rule_id").collect()]
     return codecs.dictionary_cover(table(spark, sf_dir, "documents"), rules)
@@ -80,6 +96,8 @@ OWN: dict[str, tuple[Query, str | None]] = {
     "fold_sweep": (of_chunks(codecs.fold_sweep, 16384), None),
     "train_dictionary": (train_dictionary, None),
     "dictionary_cover": (dictionary_cover, None),
+    "persistent_fold": (persistent_fold, None),
+    "measured_gate": (measured_gate, None),
     "characterize": (characterize, grid.characterize_sql(DUCK)),
     "byte_histogram": (of_files(bytestats.histogram), f"WITH {_BYTES} SELECT doc_id, v AS byte, count(*) AS n FROM v GROUP BY ALL"),
     "byte_entropy": (of_files(bytestats.entropy), _ENTROPY),
