@@ -4,7 +4,7 @@ A document is the set of its word shingles. Equal sets are one record. Every rec
 minwise tokens (the least shingle under as many hash functions). A tree branches the records: at each
 node one of the coordinates is selected, sometimes a second, so that 1 / similarity children are expected,
 and records go to the child of their minwise token there. Children with one record end. Small nodes
-compare their records exhaustively; a large node compares each record with a pivot and branches on.
+compare their records exhaustively; a large node compares each record with a few pivots and branches on.
 TREES independent trees bring the chance of missing a pair at the threshold below one in a million.
 
 What is compared in the trees are sketches (four bits of every minwise token, in four longs): a pair
@@ -31,6 +31,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 COORDINATES, TREES = 64, 10
 #: Records of a node that are compared exhaustively.
 SMALL = 24
+#: Pivots of a large node.
+PIVOTS = 4
 #: Levels of a tree; whatever large nodes are left after the last are compared exhaustively too.
 LEVELS = 12
 #: Ids up to this many are broadcast, in rows of 8 bytes; beyond, the join shuffles.
@@ -123,39 +125,37 @@ def branch(path: Column, similarity: float, level: int) -> Column:
     return F.when(two & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def components(links: DataFrame, start: DataFrame) -> DataFrame:
-    """start (id, c) with c lowered to the least label reachable over links (a, b).
+def components(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (id, c) with c lowered to the least label reachable over links (a, b).
 
-    Every round works on the graph of labels: each label takes the least neighbouring label, then chains of labels are
-    shortcut, so the number of labels that still move at least halves along paths. Only links between different labels are
-    kept. Each round is written to the shared folder."""
-    labels = start
-    while True:
-        l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        edges = links.join(l1, "a").join(l2, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).distinct()
-        edges = written(edges, "edges")
-        if edges.isEmpty():
-            return labels
-        labels = written(relabelled(labels, contracted(edges)), "labels")
+    Links become edges between different labels; their components are found on that smaller graph, and labels follow."""
+    l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    edges = links.join(l1, "a").join(l2, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).distinct()
+    edges = written(edges, "edges")
+    if edges.isEmpty():
+        return labels
+    return written(relabelled(labels, contracted(edges)), "labels")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
     """(x, y): for every label in edges (x > y) that is not the least of its component, the least label.
 
     Large-star and small-star steps in turn: every node links its larger, then its smaller-or-equal neighbours to its
-    least neighbour, until nothing changes; hub sizes do not matter, as only least neighbours are aggregated."""
+    least neighbour, until nothing changes; hub sizes do not matter, as only least neighbours are aggregated. Each round
+    is written to the shared folder."""
+    before = None
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
-        large = written(large.distinct(), "large-star")
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("x", F.col("m").alias("y")))
-        nxt = written(small.distinct(), "small-star")
-        key = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if key(nxt) == key(edges):
-            return nxt
-        edges = nxt
+        edges = written(small.distinct(), "stars")
+        # stars at rest: nothing that is linked to is itself linked on
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges
+        before = now
 
 
 def relabelled(labels: DataFrame, moves: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     """Of pairs (a, b) of record ids those whose full sets are similar: 100 * intersection >= 100 * similarity * union.
 
     Only the texts of documents in a pair are cut into shingles: their ids are broadcast up to BROADCAST_ROWS, beyond that joined by shuffle."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_ROWS
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = 2 * pairs.count() <= BROADCAST_ROWS
     some = docs.join(F.broadcast(ids) if few else ids, "id")
     sets = written(shingle_sets(some, k, ident="id", text="text"), "pair-sets")
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -194,37 +194,41 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
     text_of = source.select("id", "text")
     floor = passing(similarity)
     nodes = roots.select(F.explode(branch(F.col("path"), similarity, 0)).alias("path"), "r")
+    waiting = tested = None  # passing pairs not confirmed yet, of records in different components; pairs confirmed or refuted
     for level in range(1, LEVELS + 1):
         last = level == LEVELS
-        nodes = written(nodes, "nodes")
         own = labels.select(F.col("id").alias("rep"), "c")
-        marked = nodes if level == 1 else nodes.withColumn("rep", F.col("r.rep")).join(own, "rep").drop("rep")
-        label = F.col("r.rep") if level == 1 else F.col("c")
-        marked = marked.withColumn("c", label)
-        size = marked.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("r", F.xxhash64("path", "r.rep")).alias("pivot"))
+        marked = nodes.withColumn("c", F.col("r.rep")) if level == 1 else written(nodes.withColumn("rep", F.col("r.rep")).join(own, "rep").drop("rep"), "nodes")
+        pivots = [F.min_by("r", F.xxhash64("path", "r.rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+        size = marked.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *pivots)
         size = size.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).drop("c0", "c1")
         live = written(marked.join(size, "path"), "live")
         small = live.where((F.col("size") <= SMALL) | F.lit(last)).select("path", "r", "c")
         left, right = small.withColumnsRenamed({"r": "a", "c": "ca"}), small.withColumnsRenamed({"r": "b", "c": "cb"})
         pairs = left.join(right, "path").where((F.col("a.rep") < F.col("b.rep")) & (F.col("ca") != F.col("cb"))).select("a", "b")
         large = live.where((F.col("size") > SMALL) & ~F.lit(last))
-        pairs = pairs.union(large.where(F.col("r.rep") != F.col("pivot.rep")).select(F.when(F.col("r.rep") < F.col("pivot.rep"), F.col("r")).otherwise(F.col("pivot")).alias("a"), F.when(F.col("r.rep") < F.col("pivot.rep"), F.col("pivot")).otherwise(F.col("r")).alias("b")))
-        pairs = pairs.withColumn("alike", agreeing("a", "b")).where(F.col("alike") >= floor).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "alike").distinct()
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            # first each record's best pair with a smaller one: these join most of what belongs together
-            best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs")
-            links = written(confirmed(best, text_of, k, similarity), "links")
-            labels = components(links, labels)
-            pairs = pairs.join(best, ["a", "b"], "left_anti")
+        spokes = large.select("r", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where(F.col("r.rep") != F.col("p.rep"))
+        first = F.col("r.rep") < F.col("p.rep")
+        pairs = pairs.union(spokes.select(F.when(first, F.col("r")).otherwise(F.col("p")).alias("a"), F.when(first, F.col("p")).otherwise(F.col("r")).alias("b")))
+        pairs = pairs.withColumn("alike", agreeing("a", "b")).where(F.col("alike") >= floor).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "alike")
+        if level > 1:
             l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-            rest = written(pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b"), "rest")
-            if not rest.isEmpty():
-                labels = components(written(confirmed(rest, text_of, k, similarity), "links"), labels)
+            pairs = pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike")
+        if tested is not None:
+            pairs = pairs.union(waiting).join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs.distinct(), "pairs")
+        # each record's best pair with a smaller one comes first: these join most of what belongs together
+        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs")
+        tested = best if tested is None else tested.union(best)
+        labels = components(confirmed(best, text_of, k, similarity), labels)
+        l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+        waiting = written(pairs.join(best, ["a", "b"], "left_anti").join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike"), "waiting")
         if last or large.isEmpty():
             break
         big = large.select("path", F.col("r.rep").alias("rep"), "r").join(records.select("rep", "m"), "rep")
         nodes = big.select(F.explode(branch(F.col("path"), similarity, level)).alias("path"), "r").distinct()
+    if not waiting.isEmpty():
+        labels = components(confirmed(waiting.select("a", "b"), text_of, k, similarity), labels)
     found = records.select(*key, F.col("rep")).join(labels.withColumnRenamed("id", "rep"), "rep").select(*key, "c")
     each = sigs.select("id", *key).join(found, key, "left")
     return each.groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("c", "id")).alias("component"))
