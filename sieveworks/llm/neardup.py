@@ -3,8 +3,9 @@
 A document is the set of its word shingles. Equal sets are one record. Every record has COORDINATES
 minwise tokens (the least shingle under as many hash functions). A tree branches the records: at each
 node one of the coordinates is selected, sometimes a second, so that 1 / similarity children are expected,
-and records go to the child of their minwise token there. Children with one record end. Small nodes
-compare their records exhaustively; a large node compares each record with a few pivots and branches on.
+and records go to the child of their minwise token there. Children with one record end. A node
+with few records outside its most common component (at first, every record is its own) compares those with all
+others; a larger one compares each record with a few pivots and branches on.
 TREES independent trees bring the chance of missing a pair at the threshold below one in a million.
 
 What is compared in the trees are sketches (four bits of every minwise token, in four longs): a pair
@@ -29,10 +30,10 @@ from .common import ascii_lower, mapped, split_words, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 COORDINATES, TREES = 64, 10
-#: Records of a node that are compared exhaustively.
-SMALL = 24
-#: Pivots of a large node.
-PIVOTS = 4
+#: A node ends, its pairs compared exhaustively, if at most so many of its records lie outside its most common component.
+SMALL = 48
+#: Pivots of a large node; branchings of a large node before its children are looked at.
+PIVOTS, STEPS = 4, 3
 #: Levels of a tree; whatever large nodes are left after the last are compared exhaustively too.
 LEVELS = 12
 #: Ids up to this many are broadcast, in rows of 8 bytes; beyond, the join shuffles.
@@ -201,12 +202,22 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
         marked = nodes.withColumn("c", F.col("r.rep")) if level == 1 else written(nodes.withColumn("rep", F.col("r.rep")).join(own, "rep").drop("rep"), "nodes")
         pivots = [F.min_by("r", F.xxhash64("path", "r.rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
         size = marked.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *pivots)
-        size = size.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).drop("c0", "c1")
+        size = size.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).drop("c1")
+        if level == 1:  # every record is a component of its own
+            size = size.withColumnRenamed("c0", "top").withColumn("most", F.lit(1).cast("long"))
+        else:
+            common = marked.groupBy("path", "c").agg(F.count("*").alias("k")).groupBy("path").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"))
+            size = size.drop("c0").join(common, "path")
         live = written(marked.join(size, "path"), "live")
-        small = live.where((F.col("size") <= SMALL) | F.lit(last)).select("path", "r", "c")
-        left, right = small.withColumnsRenamed({"r": "a", "c": "ca"}), small.withColumnsRenamed({"r": "b", "c": "cb"})
-        pairs = left.join(right, "path").where((F.col("a.rep") < F.col("b.rep")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-        large = live.where((F.col("size") > SMALL) & ~F.lit(last))
+        # pairs of different components hold a record outside the most common one: if those are few, pairs are few for each record
+        ends = (F.col("size") - F.col("most") <= SMALL) | F.lit(last)
+        ended = live.where(ends)
+        left = ended.where(F.col("c") != F.col("top")).select("path", F.col("r").alias("a"), F.col("c").alias("ca"))
+        right = ended.select("path", F.col("r").alias("b"), F.col("c").alias("cb"), "top")
+        pairs = left.join(right, "path").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a.rep") < F.col("b.rep"))))
+        swap = F.col("a.rep") > F.col("b.rep")
+        pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+        large = live.where(~ends)
         spokes = large.select("r", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where(F.col("r.rep") != F.col("p.rep"))
         first = F.col("r.rep") < F.col("p.rep")
         pairs = pairs.union(spokes.select(F.when(first, F.col("r")).otherwise(F.col("p")).alias("a"), F.when(first, F.col("p")).otherwise(F.col("r")).alias("b")))
@@ -225,8 +236,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
         waiting = written(pairs.join(best, ["a", "b"], "left_anti").join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike"), "waiting")
         if last or large.isEmpty():
             break
-        big = large.select("path", F.col("r.rep").alias("rep"), "r").join(records.select("rep", "m"), "rep")
-        nodes = big.select(F.explode(branch(F.col("path"), similarity, level)).alias("path"), "r").distinct()
+        nodes = large.select("path", F.col("r.rep").alias("rep"), "r").join(records.select("rep", "m"), "rep")
+        for step in range(STEPS):
+            nodes = nodes.select(F.explode(branch(F.col("path"), similarity, STEPS * level + step)).alias("path"), "r", "m")
+        nodes = nodes.select("path", "r")
     if not waiting.isEmpty():
         labels = components(confirmed(waiting.select("a", "b"), text_of, k, similarity), labels)
     found = records.select(*key, F.col("rep")).join(labels.withColumnRenamed("id", "rep"), "rep").select(*key, "c")
