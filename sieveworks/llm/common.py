@@ -27,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, name: str, *, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    few: the table is far smaller than the corpus, so its last stage takes at most four tasks for each core."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -132,7 +132,7 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     Links become edges between different labels; their components are found on that smaller graph, and labels follow."""
     l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
     edges = links.join(l1, "a").join(l2, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", few=True)
     if edges.isEmpty():
         return labels
     return written(relabelled(labels, contracted(edges)), "labels")
@@ -151,7 +151,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("x", F.col("m").alias("y")))
-        edges = written(small.distinct(), "stars")
+        edges = written(small.distinct(), "stars", few=True)
         # stars at rest: nothing that is linked to is itself linked on
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if now == before:
@@ -227,13 +227,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
             pairs = pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike")
         if tested is not None:
             pairs = pairs.union(waiting).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs.distinct(), "pairs")
+        pairs = written(pairs.distinct(), "pairs", few=True)
         # each record's best pair with a smaller one comes first: these join most of what belongs together
-        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs")
+        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs", few=True)
         tested = best if tested is None else tested.union(best)
         labels = components(confirmed(best, text_of, k, similarity), labels)
         l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        waiting = written(pairs.join(best, ["a", "b"], "left_anti").join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike"), "waiting")
+        waiting = written(pairs.join(best, ["a", "b"], "left_anti").join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike"), "waiting", few=True)
         if last or large.isEmpty():
             break
         nodes = large.select("path", F.col("r.rep").alias("rep"), "r").join(records.select("rep", "m"), "rep")
