@@ -5,7 +5,7 @@ minwise tokens (the least shingle under as many hash functions). A tree branches
 node one of the coordinates is selected, sometimes a second, so that 1 / similarity children are expected,
 and records go to the child of their minwise token there. Children with one record end. A node
 with few records outside its most common component (at first, every record is its own) compares those with all
-others; a larger one compares each record with a few pivots and branches on.
+others; a larger one compares each record with two pivots and branches on.
 TREES independent trees bring the chance of missing a pair at the threshold below one in a million.
 
 What is compared in the trees are sketches (four bits of every minwise token, in four longs): a pair
@@ -30,10 +30,10 @@ from .common import ascii_lower, mapped, split_words, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 COORDINATES, TREES = 64, 10
-#: A node ends, its pairs compared exhaustively, if at most so many of its records lie outside its most common component.
-SMALL = 48
+#: A node ends, its pairs compared exhaustively, if it has at most SMALL records, or at most FEW outside its most common component.
+SMALL, FEW = 24, 3
 #: Pivots of a large node; branchings of a large node before its children are looked at.
-PIVOTS, STEPS = 4, 3
+PIVOTS, STEPS = 2, 3
 #: Levels of a tree; whatever large nodes are left after the last are compared exhaustively too.
 LEVELS = 12
 #: Ids up to this many are broadcast, in rows of 8 bytes; beyond, the join shuffles.
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
             size = size.drop("c0").join(common, "path")
         live = written(marked.join(size, "path"), "live")
         # pairs of different components hold a record outside the most common one: if those are few, pairs are few for each record
-        ends = (F.col("size") - F.col("most") <= SMALL) | F.lit(last)
+        ends = (F.col("size") <= SMALL) | (F.col("size") - F.col("most") <= FEW) | F.lit(last)
         ended = live.where(ends)
         left = ended.where(F.col("c") != F.col("top")).select("path", F.col("r").alias("a"), F.col("c").alias("ca"))
         right = ended.select("path", F.col("r").alias("b"), F.col("c").alias("cb"), "top")

@@ -182,6 +182,7 @@ def test_near_duplicates(spark, k):
 def test_near_duplicates_deep_trees(spark, monkeypatch):
     """Large nodes, with a limit of four records, branch on and still lose no link."""
     monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "FEW", 1)
     rng = random.Random(9)
     base = [f"w{rng.randrange(300)}" for _ in range(60)]
     rows = []
