@@ -180,13 +180,13 @@ def test_near_duplicates(spark, k):
 
 
 def test_near_duplicates_deep_trees(spark, monkeypatch):
-    """Large nodes, with a limit of four records, branch on and still lose no link."""
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "FEW", 1)
+    """Large nodes, with a limit of eight records, branch on and still lose no link."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "FEW", 2)
     rng = random.Random(9)
     base = [f"w{rng.randrange(300)}" for _ in range(60)]
     rows = []
-    for i in range(80):
+    for i in range(50):
         words = list(base)
         for _ in range(rng.randint(0, 14)):
             words[rng.randrange(60)] = f"v{rng.randrange(1000)}"
