@@ -3,17 +3,19 @@
 A document is the set of its word shingles. Equal sets are one record. Every record has COORDINATES
 minwise tokens (the least shingle under as many hash functions). A tree branches the records: at each
 node one of the coordinates is selected, sometimes a second, so that 1 / similarity children are expected,
-and records go to the child of their minwise token there. Children with one record end. A node
-with few records outside its most common component (at first, every record is its own) compares those with all
-others; a larger one compares each record with two pivots and branches on.
-TREES independent trees bring the chance of missing a pair at the threshold below one in a million.
-
-What is compared in the trees are sketches (four bits of every minwise token, in four longs): a pair
-passes if so many agree that a pair at the threshold fails with a chance below one in a million. Passing pairs are
-confirmed on full shingle sets. First each record's best pair, then every pair whose ends those links
-do not join already: pairs within a component cannot change it. The same holds for large nodes, which branch
-on only while they hold records of different components; so groups of thousands of near copies collapse
-on their pivots and never meet pair by pair.
+and records go to the child of their minwise token there. Such branching is critical: a pair at the threshold dies out
+with depth, so trees end after DEPTH branchings, however large their nodes are. Over TREES trees that share the
+coordinates, a pair at the threshold then meets in no node with a chance below one in a million.
+
+Records of small nodes are compared with each other; those of larger ones with PIVOTS pivots, and, where only few are outside
+the most common component, these with all others. Compared are sketches (four bits of every minwise token, in four
+longs): a pair passes if so many agree that a pair at the threshold fails with a chance below one in a million. Passing
+pairs are confirmed on full shingle sets. First each record's best pair, then every pair whose ends those links
+do not join already: pairs within a component cannot change it.
+
+Large nodes that still hold records of different components are joined to families, by common records. A family is
+compared exactly and whole, in pairs of blocks of records: intersections are products of incidence matrices, and each
+pair of blocks gives a spanning forest of its links. Only pairs within the family's most common component are passed over.
 """
 
 from __future__ import annotations
@@ -23,19 +25,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, mapped, split_words, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-COORDINATES, TREES = 64, 10
-#: A node ends, its pairs compared exhaustively, if it has at most SMALL records, or at most FEW outside its most common component.
+#: Branchings of a tree. More lose pairs at the threshold: with 10 trees 2e-4 after 3, 1e-3 after 4, 1e-2 after 7.
+COORDINATES, TREES, DEPTH = 64, 20, 3
+#: A node's pairs are compared by sketches if it has at most SMALL records, or at most FEW outside its most common component.
 SMALL, FEW = 24, 3
-#: Pivots of a large node; branchings of a large node before its children are looked at.
-PIVOTS, STEPS = 2, 3
-#: Levels of a tree; whatever large nodes are left after the last are compared exhaustively too.
-LEVELS = 12
+#: Pivots of a large node; records of a block of a family, about; columns of an incidence matrix.
+PIVOTS, BLOCK, COLUMNS = 2, 1024, 2048
 #: Ids up to this many are broadcast, in rows of 8 bytes; beyond, the join shuffles.
 BROADCAST_ROWS = 1 << 21
 
@@ -177,6 +178,70 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> D
     return both.where((100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))) & (F.col("i") > 0)).select("a", "b")
 
 
+def forest(sets: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) that join what the similar pairs of two blocks p and q (or of one, p = q) of id, c, s join; pairs of equal c are passed over."""
+    column = sets.column("s").combine_chunks()
+    ids, c, block = (sets.column(x).to_numpy() for x in ("id", "c", "block"))
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), lengths)
+    one, two = np.flatnonzero(block == sets.column("p")[0].as_py()), np.flatnonzero(block == sets.column("q")[0].as_py())
+    _, word = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    # words of one record only take no part; the others are numbered anew
+    often = np.bincount(word, minlength=1) > 1
+    row, word = row[often[word]], (np.cumsum(often) - 1)[word[often[word]]]
+    order = np.argsort(word, kind="stable")
+    row, word = row[order], word[order]
+    common = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        part = slice(*np.searchsorted(word, [at, at + COLUMNS]))
+        has = np.zeros((len(ids), COLUMNS), np.float32)
+        has[row[part], word[part] - at] = 1
+        common += has[one] @ has[two].T
+    both = lengths[one][:, None] + lengths[two][None, :] - common
+    like = (100 * common >= round(similarity * 100) * both) & (common > 0) & (c[one][:, None] != c[two][None, :])
+    linked = np.zeros((len(ids), len(ids)), bool)
+    linked[np.ix_(one, two)] = like
+    linked |= linked.T
+    links, new = [], np.ones(len(ids), bool)
+    for root in range(len(ids)):
+        stack = [root] if new[root] else []
+        new[root] = False
+        while stack:
+            x = stack.pop()
+            found = np.flatnonzero(linked[x] & new)
+            new[found] = False
+            stack.extend(found.tolist())
+            links.append(np.stack([np.full(len(found), ids[x]), ids[found]]))
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def family_links(large: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the families that large nodes (path, rep) form: every family is compared exactly and whole.
+
+    Blocks of records outside the family's most common component (numbered first) meet all blocks, the others only those."""
+    least = large.groupBy("path").agg(F.min("rep").alias("y"))
+    edges = large.join(least, "path").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
+    moves = contracted(written(edges, "family-edges", few=True))
+    family = moves.select(F.col("x").alias("id"), F.col("y").alias("f")).union(moves.select("y", "y")).distinct()
+    family = written(family.join(labels, "id"), "families", few=True)
+    each = family.groupBy("f", "c").agg(F.count("*").alias("k"))
+    top = each.groupBy("f").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size")).where("size > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    top = top.select("f", "top", blocks(F.col("size") - F.col("most")).alias("outer"), blocks(F.col("most")).alias("inner"))
+    hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    out = F.col("c") != F.col("top")
+    own = F.when(out, hashed(F.col("outer"))).otherwise(F.col("outer") + hashed(F.col("inner")))
+    last = F.when(out, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    placed = family.join(top, "f").select("f", "id", "c", own.alias("block"), last.alias("last"))
+    few = family.count() <= BROADCAST_ROWS
+    some = docs.join(F.broadcast(placed.select("id")) if few else placed.select("id"), "id")
+    sets = shingle_sets(some, k, ident="id", text="text").join(F.broadcast(placed) if few else placed, "id")
+    met = sets.where(F.size("s") > 0).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = met.select("f", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "c", "s")
+    return met.groupBy("f", "p", "q").applyInArrow(lambda t: forest(t, similarity), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for every id: id, n (set size), component (the least id reachable over links, itself included).
 
@@ -189,59 +254,58 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
     key = ["n", "h1", "h2"]
     records = sigs.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("m").alias("m"), *[F.first(f"x{i}").alias(f"x{i}") for i in range(4)])
     records = written(records, "records")
-    sketch = F.struct("rep", "x0", "x1", "x2", "x3").alias("r")
-    roots = records.select("m", sketch, F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("path"))
     labels = written(records.select(F.col("rep").alias("id"), F.col("rep").alias("c")).distinct(), "labels")
     text_of = source.select("id", "text")
     floor = passing(similarity)
-    nodes = roots.select(F.explode(branch(F.col("path"), similarity, 0)).alias("path"), "r")
-    waiting = tested = None  # passing pairs not confirmed yet, of records in different components; pairs confirmed or refuted
-    for level in range(1, LEVELS + 1):
-        last = level == LEVELS
-        own = labels.select(F.col("id").alias("rep"), "c")
-        marked = nodes.withColumn("c", F.col("r.rep")) if level == 1 else written(nodes.withColumn("rep", F.col("r.rep")).join(own, "rep").drop("rep"), "nodes")
-        pivots = [F.min_by("r", F.xxhash64("path", "r.rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
-        size = marked.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *pivots)
-        size = size.where((F.col("size") > 1) & (F.col("c0") != F.col("c1"))).drop("c1")
-        if level == 1:  # every record is a component of its own
-            size = size.withColumnRenamed("c0", "top").withColumn("most", F.lit(1).cast("long"))
-        else:
-            common = marked.groupBy("path", "c").agg(F.count("*").alias("k")).groupBy("path").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"))
-            size = size.drop("c0").join(common, "path")
-        live = written(marked.join(size, "path"), "live")
-        # pairs of different components hold a record outside the most common one: if those are few, pairs are few for each record
-        ends = (F.col("size") <= SMALL) | (F.col("size") - F.col("most") <= FEW) | F.lit(last)
-        ended = live.where(ends)
-        left = ended.where(F.col("c") != F.col("top")).select("path", F.col("r").alias("a"), F.col("c").alias("ca"))
-        right = ended.select("path", F.col("r").alias("b"), F.col("c").alias("cb"), "top")
-        pairs = left.join(right, "path").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a.rep") < F.col("b.rep"))))
-        swap = F.col("a.rep") > F.col("b.rep")
-        pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-        large = live.where(~ends)
-        spokes = large.select("r", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where(F.col("r.rep") != F.col("p.rep"))
-        first = F.col("r.rep") < F.col("p.rep")
-        pairs = pairs.union(spokes.select(F.when(first, F.col("r")).otherwise(F.col("p")).alias("a"), F.when(first, F.col("p")).otherwise(F.col("r")).alias("b")))
-        pairs = pairs.withColumn("alike", agreeing("a", "b")).where(F.col("alike") >= floor).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "alike")
-        if level > 1:
-            l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike")
-        if tested is not None:
-            pairs = pairs.union(waiting).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs.distinct(), "pairs", few=True)
-        # each record's best pair with a smaller one comes first: these join most of what belongs together
-        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs", few=True)
-        tested = best if tested is None else tested.union(best)
-        labels = components(confirmed(best, text_of, k, similarity), labels)
+    nodes = records.select("rep", "m", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("path"))
+    for level in range(DEPTH):
+        nodes = nodes.select("rep", "m", F.explode(branch(F.col("path"), similarity, level)).alias("path"))
+    nodes = nodes.select("path", "rep").withColumn("size", F.count("*").over(Window.partitionBy("path"))).where("size > 1")
+    nodes = written(nodes, "nodes")
+    sketch = records.select("rep", F.struct("rep", "x0", "x1", "x2", "x3").alias("r"))
+    small = written(nodes.where(F.col("size") <= SMALL).join(sketch, "rep").select("path", "r"), "small")
+    large = nodes.where(F.col("size") > SMALL).select("path", "rep")
+
+    def of(ids: DataFrame, name: str) -> DataFrame:
+        return ids.join(sketch.select(F.col("rep").alias(name), F.col("r").alias(f"r{name}")), name)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("alike", agreeing("ra", "rb")).where(F.col("alike") >= floor).select("a", "b", "alike")
+
+    def apart(pairs: DataFrame) -> DataFrame:
         l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        waiting = written(pairs.join(best, ["a", "b"], "left_anti").join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike"), "waiting", few=True)
-        if last or large.isEmpty():
-            break
-        nodes = large.select("path", F.col("r.rep").alias("rep"), "r").join(records.select("rep", "m"), "rep")
-        for step in range(STEPS):
-            nodes = nodes.select(F.explode(branch(F.col("path"), similarity, STEPS * level + step)).alias("path"), "r", "m")
-        nodes = nodes.select("path", "r")
+        return pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike")
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    pairs = small.select("path", F.col("r").alias("ra")).join(small.select("path", F.col("r").alias("rb")), "path").where("ra.rep < rb.rep")
+    pairs = alike(pairs.select(F.col("ra.rep").alias("a"), F.col("rb.rep").alias("b"), "ra", "rb"))
+    # nodes of one group share their pivots, so that few pairs are made
+    pivots = large.groupBy("path").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+    spokes = large.join(pivots, "path").select("rep", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("rep <> p")
+    pairs = pairs.union(alike(of(of(spokes.select(*ordered("rep", "p")).distinct(), "a"), "b")))
+    pairs = written(pairs.distinct(), "pairs", few=True)
+    # each record's best pair with a smaller one comes first: these join most of what belongs together
+    best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs", few=True)
+    labels = components(confirmed(best, text_of, k, similarity), labels)
+    waiting = apart(pairs.join(best, ["a", "b"], "left_anti"))
+    # large nodes of few records outside the most common component make few pairs
+    marked = written(large.join(labels.withColumnRenamed("id", "rep"), "rep"), "large", few=True)
+    common = marked.groupBy("path", "c").agg(F.count("*").alias("k")).groupBy("path").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size"))
+    mixed = marked.join(common.where("size > most").withColumn("outside", F.col("size") - F.col("most")).drop("size", "most"), "path")
+    mixed = written(mixed, "mixed", few=True)
+    ended = mixed.where(F.col("outside") <= FEW)
+    strays = ended.where("c <> top").select("path", F.col("rep").alias("x"), F.col("c").alias("cx"))
+    met = strays.join(ended.select("path", "rep", "c"), "path").where("c <> cx").select(*ordered("x", "rep")).distinct()
+    waiting = waiting.union(alike(of(of(met, "a"), "b")).join(best, ["a", "b"], "left_anti"))
+    waiting = written(waiting.select("a", "b").distinct(), "waiting", few=True)
     if not waiting.isEmpty():
-        labels = components(confirmed(waiting.select("a", "b"), text_of, k, similarity), labels)
+        labels = components(confirmed(waiting, text_of, k, similarity), labels)
+    rest = mixed.where(F.col("outside") > FEW).select("path", "rep")
+    if not rest.isEmpty():
+        links = written(family_links(rest, labels, text_of, k, similarity), "family-links", few=True)
+        labels = components(links, labels)
     found = records.select(*key, F.col("rep")).join(labels.withColumnRenamed("id", "rep"), "rep").select(*key, "c")
     each = sigs.select("id", *key).join(found, key, "left")
     return each.groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("c", "id")).alias("component"))

@@ -195,6 +195,17 @@ def test_near_duplicates_deep_trees(spark, monkeypatch):
     assert {r["id"]: r["component"] for r in out} == brute_components(rows, 2)
 
 
+def test_near_duplicates_rare_links_in_a_large_group(spark, monkeypatch):
+    """Of 2,000 records of one template, all 0.7 alike, 200 pairs are 0.81 alike: every one is linked, in families of several blocks too."""
+    monkeypatch.setattr(neardup, "BLOCK", 500, raising=False)
+    rows = []
+    for i in range(2000):
+        own = [f"p{i // 2}_{j}" for j in range(12)] if i < 400 else []
+        rows.append((i, " ".join([f"t{j}" for j in range(140)] + own + [f"o{i}_{j}" for j in range(30 - len(own))])))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
+    assert {r["id"]: r["component"] for r in out} == {i: i - i % 2 if i < 400 else i for i in range(2000)}
+
+
 def test_near_duplicates_odd_rows(spark):
     out = {r["id"]: r["component"] for r in neardup.near_duplicates(odd_docs(spark, [(9, "one", None, None, None)])).collect()}
     assert out == {1: 1, 2: 2, 3: 3, 4: 4, 9: 3}
