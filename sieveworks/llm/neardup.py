@@ -236,8 +236,10 @@ def family_links(large: DataFrame, labels: DataFrame, docs: DataFrame, k: int, s
     placed = family.join(top, "f").select("f", "id", "c", own.alias("block"), last.alias("last"))
     few = family.count() <= BROADCAST_ROWS
     some = docs.join(F.broadcast(placed.select("id")) if few else placed.select("id"), "id")
-    sets = shingle_sets(some, k, ident="id", text="text").join(F.broadcast(placed) if few else placed, "id")
-    met = sets.where(F.size("s") > 0).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    # written, so that the filter below does not cut every text anew for each of its words
+    sets = written(shingle_sets(some, k, ident="id", text="text"), "family-sets")
+    sets = sets.where(F.size("s") > 0).join(F.broadcast(placed) if few else placed, "id")
+    met = sets.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     met = met.select("f", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "c", "s")
     return met.groupBy("f", "p", "q").applyInArrow(lambda t: forest(t, similarity), "a long, b long").distinct()
 
