@@ -382,6 +382,15 @@ def test_fingerprints(spark, data, ranges, monkeypatch):
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
 
 
+@pytest.mark.parametrize("n", [994, 998, 1500])
+def test_fingerprints_do_not_depend_on_the_side_of_a_length(spark, n):
+    """One line and the same with a word more: all but the line and the last run are shared."""
+    text = " ".join(f"{i:03d}x" for i in range(400))[:n].rstrip()
+    docs = spark.createDataFrame([(text, text + " wxyz")], "text string, other string")
+    (r,) = fingerprints.fingerprint(docs, other="other", likeness_as="near", fingerprint_as="print").collect()
+    assert r["near"] > 0.8
+
+
 def test_fingerprints_odd_rows(spark, tmp_path):
     sf = written(spark, odd_docs(spark), tmp_path)
     rows = queries.QUERIES["op6_fingerprints"](spark, sf).collect()
