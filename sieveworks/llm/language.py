@@ -39,7 +39,7 @@ def forms(word: str) -> Iterable[str]:
     for n in (2, 3, 4):
         yield f"{w[:n]}~"
         yield f"~{w[-n:]}"
-    for i in range(1, min(len(word), 24) - 1):
+    for i in range(1, len(word) - 1):
         yield w[i : i + 3]
 
 

@@ -463,6 +463,12 @@ def test_language(spark, data):
     assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def test_language_forms_of_long_words():
+    """Trigrams are taken of the whole word, however long."""
+    word = "a" * 5000 + "xyz" + "b" * 5000
+    assert "xyz" in set(language.forms(word))
+
+
 def test_language_switches():
     en, de = "the river and the stone with light", "der fluss und die steine mit licht"
     model = language.learn([(en + " of house and garden", "en"), (de + " von haus und garten", "de")] * 20)
