@@ -7,20 +7,21 @@ and records go to the child of their minwise token there. Such branching is crit
 with depth, so trees end after DEPTH branchings, however large their nodes are. Over TREES trees that share the
 coordinates, a pair at the threshold then meets in no node with a chance below one in a million.
 
-Records of small nodes are compared with each other; those of larger ones with PIVOTS pivots, and, where only few are outside
-the most common component, these with all others. Compared are sketches (four bits of every minwise token, in four
-longs): a pair passes if so many agree that a pair at the threshold fails with a chance below one in a million. Passing
-pairs are confirmed on full shingle sets. First each record's best pair, then every pair whose ends those links
-do not join already: pairs within a component cannot change it.
-
-Large nodes that still hold records of different components are joined to families, by common records. A family is
-compared exactly and whole, in pairs of blocks of records: intersections are products of incidence matrices, and each
-pair of blocks gives a spanning forest of its links. Only pairs within the family's most common component are passed over.
+Candidates are found by sketches (four bits of every minwise token, in four longs): a pair passes if so many agree that a
+pair at the threshold fails with a chance below one in a million. First, records of small nodes are compared with each
+other and those of larger ones with PIVOTS pivots; each record's best passing pair is confirmed on full shingle sets, and
+confirmed pairs make components: these join most of what belongs together, by as many rows as there are records.
+
+Pairs within a component cannot change it any more. Then every node that still holds several components is compared
+exhaustively by sketches, save for pairs of one component; very large nodes in pairs of blocks. A node only tells which of its
+components passing pairs connect, not the pairs. Components so connected are a family. A family is compared exactly and
+whole, in pairs of blocks of records: intersections are products of incidence matrices, and each pair of blocks gives a
+spanning forest of its links. Only pairs within the family's most common component are passed over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mapped, split_words, table, written
+from .common import ascii_lower, discard, fresh, mapped, split_words, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Branchings of a tree. More lose pairs at the threshold: with 10 trees 2e-4 after 3, 1e-3 after 4, 1e-2 after 7.
 COORDINATES, TREES, DEPTH = 64, 20, 3
-#: A node's pairs are compared by sketches if it has at most SMALL records, or at most FEW outside its most common component.
-SMALL, FEW = 24, 3
-#: Pivots of a large node; records of a block of a family, about; columns of an incidence matrix.
-PIVOTS, BLOCK, COLUMNS = 2, 1024, 2048
+#: Nodes of at most SMALL records are compared whole in the first step, larger ones with PIVOTS pivots.
+SMALL, PIVOTS = 24, 2
+#: Records of a block of a node, and of a family, about; columns of an incidence matrix; records compared with all others at a time.
+NODE_BLOCK, BLOCK, COLUMNS, ROWS = 4096, 1024, 2048, 256
 #: Ids up to this many are broadcast, in rows of 8 bytes; beyond, the join shuffles.
 BROADCAST_ROWS = 1 << 21
 
@@ -134,9 +135,7 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
     edges = links.join(l1, "a").join(l2, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y")).distinct()
     edges = written(edges, "edges", few=True)
-    if edges.isEmpty():
-        return labels
-    return written(relabelled(labels, contracted(edges)), "labels")
+    return labels if edges.isEmpty() else written(relabelled(labels, contracted(edges)), "labels")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -152,7 +151,8 @@ def contracted(edges: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("x", F.col("m").alias("y")))
-        edges = written(small.distinct(), "stars", few=True)
+        last, edges = edges, written(small.distinct(), "stars", few=True)
+        discard(last)
         # stars at rest: nothing that is linked to is itself linked on
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if now == before:
@@ -216,15 +216,98 @@ def forest(sets: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def family_links(large: DataFrame, labels: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the families that large nodes (path, rep) form: every family is compared exactly and whole.
+def connected(c: np.ndarray, x: np.ndarray, floor: int) -> list[tuple[int, int]]:
+    """Pairs of components that passing pairs of a node's records connect, as edges to one of them: each component is reached
+    once. c: the records' components; x: their sketches, four longs each.
+
+    Records of components reached so far are compared with all records of those not reached, until none is left."""
+    names, label = np.unique(c, return_inverse=True)
+    new = np.ones(len(names), bool)
+    edges = []
+    ones, one, two = np.uint64(0x1111111111111111), np.uint64(1), np.uint64(2)
+    for root in range(len(names)):
+        if not new[root]:
+            continue
+        new[root] = False
+        todo = [np.flatnonzero(label == root)]
+        while todo and new.any():
+            rows = todo.pop()
+            if len(rows) > ROWS:
+                todo.append(rows[ROWS:])
+                rows = rows[:ROWS]
+            others = np.flatnonzero(new[label])
+            differ = np.zeros((len(rows), len(others)), np.uint8)
+            for i in range(x.shape[1]):
+                y = x[rows, i][:, None] ^ x[others, i][None, :]
+                y |= y >> two
+                y |= y >> one
+                differ += np.bitwise_count(y & ones)
+            hit = np.unique(label[others[(differ <= COORDINATES - floor).any(axis=0)]])
+            if len(hit):
+                new[hit] = False
+                edges += [(int(names[root]), int(names[h])) for h in hit]
+                todo.append(np.flatnonzero(np.isin(label, hit)))
+    return edges
+
+
+def node_edges(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows (node, c, x0..x3) that stand together by node: edges (x, y) of connected components."""
+    floor = passing(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []  # rows of the node that the last batch ended with
+
+        def of(rows: np.ndarray) -> list[tuple[int, int]]:
+            return connected(rows[:, 1], rows[:, 2:].view(np.uint64), floor)
+
+        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (1, 0)], names=["x", "y"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(i).to_numpy() for i in range(b.num_columns)], axis=1)
+            cuts = (np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist()
+            if kept and kept[-1][-1, 0] != rows[0, 0]:
+                yield batch_of(of(np.concatenate(kept)))
+                kept = []
+            edges, start = [], 0
+            for end in cuts:
+                part = rows[start:end]
+                edges += of(np.concatenate([*kept, part]) if kept else part)
+                kept, start = [], end
+            kept.append(rows[start:])
+            yield batch_of(edges)
+        if kept:
+            yield batch_of(of(np.concatenate(kept)))
+
+    return run
+
+
+def families(nodes: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """(id, c, f): records of components that passing pairs of a common node (path, rep, size) connect; f: the family."""
+    marked = nodes.join(labels.select(F.col("id").alias("rep"), "c"), "rep")
+    several = marked.groupBy("path").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("path")
+    mixed = written(marked.join(several, "path"), "mixed", few=True)
+    blocks = F.ceil(F.col("size") / NODE_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    met = mixed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("rep", "c", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
+    met = met.join(sketch, "rep").select("node", "c", "x0", "x1", "x2", "x3").repartition("node").sortWithinPartitions("node")
+    edges = mapped(met, node_edges(similarity), "x long, y long").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    edges = written(edges, "family-edges", few=True)
+    discard(mixed)
+    if edges.isEmpty():
+        return labels.select("id", "c", F.col("c").alias("f")).limit(0)
+    moves = contracted(edges)
+    family = moves.select(F.col("x").alias("c"), F.col("y").alias("f")).union(moves.select("y", "y")).distinct()
+    return written(labels.join(family, "c").select("id", "c", "f"), "families", few=True)
+
+
+def family_links(family: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) within families (id, c, f): every family is compared exactly and whole.
 
     Blocks of records outside the family's most common component (numbered first) meet all blocks, the others only those."""
-    least = large.groupBy("path").agg(F.min("rep").alias("y"))
-    edges = large.join(least, "path").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
-    moves = contracted(written(edges, "family-edges", few=True))
-    family = moves.select(F.col("x").alias("id"), F.col("y").alias("f")).union(moves.select("y", "y")).distinct()
-    family = written(family.join(labels, "id"), "families", few=True)
     each = family.groupBy("f", "c").agg(F.count("*").alias("k"))
     top = each.groupBy("f").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size")).where("size > most")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -238,25 +321,27 @@ def family_links(large: DataFrame, labels: DataFrame, docs: DataFrame, k: int, s
     some = docs.join(F.broadcast(placed.select("id")) if few else placed.select("id"), "id")
     # written, so that the filter below does not cut every text anew for each of its words
     sets = written(shingle_sets(some, k, ident="id", text="text"), "family-sets")
-    sets = sets.where(F.size("s") > 0).join(F.broadcast(placed) if few else placed, "id")
-    met = sets.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    met = sets.where(F.size("s") > 0).join(F.broadcast(placed) if few else placed, "id")
+    met = met.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     met = met.select("f", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "c", "s")
-    return met.groupBy("f", "p", "q").applyInArrow(lambda t: forest(t, similarity), "a long, b long").distinct()
+    links = written(met.groupBy("f", "p", "q").applyInArrow(lambda t: forest(t, similarity), "a long, b long").distinct(), "family-links", few=True)
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for every id: id, n (set size), component (the least id reachable over links, itself included).
+    """One row for every row of docs with an id: id, n (set size), component (the least id reachable over links, itself included).
 
     Two documents are linked if the Jaccard similarity of their shingle sets reaches `similarity`. Texts without words, null
-    texts among them, have empty sets and no links. Ids must be integers. Rows that repeat an id count as one document if their sets
-    are equal; if not, the id takes part with each of its sets. Rows without id are left out."""
+    texts among them, have empty sets and no links. Ids must be integers and may repeat only with equal texts: `keyed` makes
+    such ids where they are not. Rows without id are left out. An empty table gives no rows."""
     source = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = written(signatures(shingle_sets(source, k, ident="id")), "signatures")
     # equal sets are one record, named by the least id; its sketch is that of any of them
     key = ["n", "h1", "h2"]
     records = sigs.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("m").alias("m"), *[F.first(f"x{i}").alias(f"x{i}") for i in range(4)])
     records = written(records, "records")
-    labels = written(records.select(F.col("rep").alias("id"), F.col("rep").alias("c")).distinct(), "labels")
+    labels = records.select(F.col("rep").alias("id"), F.col("rep").alias("c"))
     text_of = source.select("id", "text")
     floor = passing(similarity)
     nodes = records.select("rep", "m", F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("path"))
@@ -264,59 +349,69 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
         nodes = nodes.select("rep", "m", F.explode(branch(F.col("path"), similarity, level)).alias("path"))
     nodes = nodes.select("path", "rep").withColumn("size", F.count("*").over(Window.partitionBy("path"))).where("size > 1")
     nodes = written(nodes, "nodes")
-    sketch = records.select("rep", F.struct("rep", "x0", "x1", "x2", "x3").alias("r"))
-    small = written(nodes.where(F.col("size") <= SMALL).join(sketch, "rep").select("path", "r"), "small")
+    sketch = records.select("rep", "x0", "x1", "x2", "x3")
+    packed = sketch.select("rep", F.struct("rep", "x0", "x1", "x2", "x3").alias("r"))
+    small = written(nodes.where(F.col("size") <= SMALL).join(packed, "rep").select("path", "r"), "small")
     large = nodes.where(F.col("size") > SMALL).select("path", "rep")
 
     def of(ids: DataFrame, name: str) -> DataFrame:
-        return ids.join(sketch.select(F.col("rep").alias(name), F.col("r").alias(f"r{name}")), name)
+        return ids.join(packed.select(F.col("rep").alias(name), F.col("r").alias(f"r{name}")), name)
 
     def alike(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("alike", agreeing("ra", "rb")).where(F.col("alike") >= floor).select("a", "b", "alike")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        l1, l2 = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        return pairs.join(l1, "a").join(l2, "b").where("ca <> cb").select("a", "b", "alike")
-
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     pairs = small.select("path", F.col("r").alias("ra")).join(small.select("path", F.col("r").alias("rb")), "path").where("ra.rep < rb.rep")
     pairs = alike(pairs.select(F.col("ra.rep").alias("a"), F.col("rb.rep").alias("b"), "ra", "rb"))
     # nodes of one group share their pivots, so that few pairs are made
     pivots = large.groupBy("path").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
     spokes = large.join(pivots, "path").select("rep", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("rep <> p")
-    pairs = pairs.union(alike(of(of(spokes.select(*ordered("rep", "p")).distinct(), "a"), "b")))
-    pairs = written(pairs.distinct(), "pairs", few=True)
-    # each record's best pair with a smaller one comes first: these join most of what belongs together
+    spokes = spokes.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    pairs = pairs.union(alike(of(of(spokes, "a"), "b")))
+    # each record's best pair with a smaller one
     best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs", few=True)
     labels = components(confirmed(best, text_of, k, similarity), labels)
-    waiting = apart(pairs.join(best, ["a", "b"], "left_anti"))
-    # large nodes of few records outside the most common component make few pairs
-    marked = written(large.join(labels.withColumnRenamed("id", "rep"), "rep"), "large", few=True)
-    common = marked.groupBy("path", "c").agg(F.count("*").alias("k")).groupBy("path").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size"))
-    mixed = marked.join(common.where("size > most").withColumn("outside", F.col("size") - F.col("most")).drop("size", "most"), "path")
-    mixed = written(mixed, "mixed", few=True)
-    ended = mixed.where(F.col("outside") <= FEW)
-    strays = ended.where("c <> top").select("path", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    met = strays.join(ended.select("path", "rep", "c"), "path").where("c <> cx").select(*ordered("x", "rep")).distinct()
-    waiting = waiting.union(alike(of(of(met, "a"), "b")).join(best, ["a", "b"], "left_anti"))
-    waiting = written(waiting.select("a", "b").distinct(), "waiting", few=True)
-    if not waiting.isEmpty():
-        labels = components(confirmed(waiting, text_of, k, similarity), labels)
-    rest = mixed.where(F.col("outside") > FEW).select("path", "rep")
-    if not rest.isEmpty():
-        links = written(family_links(rest, labels, text_of, k, similarity), "family-links", few=True)
-        labels = components(links, labels)
+    discard(small)
+    family = families(nodes, labels, sketch, similarity)
+    if not family.isEmpty():
+        labels = components(family_links(family, text_of, k, similarity), labels)
+    discard(nodes)
     found = records.select(*key, F.col("rep")).join(labels.withColumnRenamed("id", "rep"), "rep").select(*key, "c")
     each = sigs.select("id", *key).join(found, key, "left")
-    return each.groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("c", "id")).alias("component"))
+    return each.select("id", "n", F.coalesce("c", "id").alias("component"))
+
+
+def keyed(docs: DataFrame, key: str, *, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """docs with a column key that near_duplicates takes as id; and whether it is the id throughout.
+
+    Where ids are null or repeat, the row of an id with the least text keeps it; other texts of that id, and texts without id, get a
+    negative number from id and text, so that different texts are never one document. Null texts come first."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct(ident)).first()
+    own = F.col(ident).cast("long")
+    if n == ids:
+        return docs.withColumn(key, own), True
+    least = fresh("least", [*docs.columns, key])
+    made = -1 - F.pmod(F.xxhash64(own, F.lit("id"), F.col(text)), F.lit(1 << 62))
+    first = docs.where(own.isNotNull()).groupBy(own.alias(key)).agg(F.min(F.struct(F.col(text).isNotNull().alias("some"), F.col(text).alias("text"))).alias(least))
+    both = docs.join(first, own.eqNullSafe(F.col(key)), "left")
+    mine = F.col(f"{least}.text").eqNullSafe(F.col(text)) & F.col(key).isNotNull()
+    return both.withColumn(key, F.when(mine, own).otherwise(made)).drop(least), False
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: over two-word shingles."""
-    out = near_duplicates(table(spark, sf_dir, "documents"), k=2)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    """doc_id, n_shingles, component_id, kept: over two-word shingles; one row for every document, also where ids are null or repeat.
+
+    component_id is the least doc_id of the component, null if none of its documents has one."""
+    docs, plain = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"), "key")
+    if not plain:
+        docs = written(docs, "keyed")
+    out = near_duplicates(docs, k=2, ident="key")
+    if plain:
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    # rows of one key are equal: each key has one size and one component
+    out = written(out.distinct(), "keyed-components")
+    rows = docs.select("doc_id", F.col("key").alias("id")).join(out, "id")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component")).alias("kept"))
 
 
 ORACLE_SQL = """

@@ -180,9 +180,9 @@ def test_near_duplicates(spark, k):
 
 
 def test_near_duplicates_deep_trees(spark, monkeypatch):
-    """Large nodes, with a limit of eight records, branch on and still lose no link."""
+    """Nodes of more than eight records, compared in blocks of about ten, lose no link."""
     monkeypatch.setattr(neardup, "SMALL", 8)
-    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "NODE_BLOCK", 10)
     rng = random.Random(9)
     base = [f"w{rng.randrange(300)}" for _ in range(60)]
     rows = []
@@ -212,6 +212,16 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_whose_ids_repeat_or_lack(spark, tmp_path):
+    """Different texts are different documents, whatever their ids; equal rows give equal results."""
+    rows = [(3, "one text of words"), (3, "quite another row"), (7, "One text of words"), (7, "One text of words"), (None, "quite another row"), (None, "alone here"), (None, None), (None, None), (8, None)]
+    sf = written(spark, spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS), tmp_path)
+    out = queries.QUERIES["op3_near_duplicates"](spark, sf).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str)
+    want = [(3, 3, 3), (3, 2, 3), (7, 3, 3), (7, 3, 3), (None, 2, 3), (None, 1, None), (None, 0, None), (None, 0, None), (8, 0, 8)]
+    assert got == sorted(want, key=str)
+
+
 def test_long_chains(spark):
     n = 40
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (102, 101)], "a long, b long")
