@@ -7,6 +7,7 @@ messages from block to block, and a second pass over all blocks gives every toke
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -161,60 +162,75 @@ class Scorer:
         return marginals(self.table[ids], lens, self.crf.trans, self.crf.start)
 
 
-def fit(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], of: Callable[[str], Iterable[str]], *, rounds: int = 30, rate: float = 0.3, l2: float = 1e-3, least: int = 2) -> Crf:
+def numbered(words: list[str], vocab: Vocabulary) -> np.ndarray:
+    """The numbers of words, four bytes each: training texts are held in this form."""
+    found = np.fromiter(map(vocab.__getitem__, words), np.int32, len(words))
+    vocab.new.clear()
+    return found
+
+
+def in_parts(texts: list[np.ndarray], most: int) -> list[list[int]]:
+    """The places of texts that have words, dealt in order into parts of about `most` words."""
+    parts: list[list[int]] = [[]]
+    size = 0
+    for i, t in enumerate(texts):
+        if len(t):
+            if size and size + len(t) > most:
+                parts.append([])
+                size = 0
+            parts[-1].append(i)
+            size += len(t)
+    return parts
+
+
+def fit(vocab: Vocabulary, texts: list[np.ndarray], tags: list[np.ndarray], labels: list[str], of: Callable[[str], Iterable[str]], *, rounds: int = 30, rate: float = 0.3, l2: float = 1e-3, least: int = 2, most: int = 100_000) -> Crf:
     """Maximum likelihood by Adam on all sequences at once.
 
-    tags: the label number of every word. Features seen in fewer than `least` words of the texts are left out.
-    No texts, or no words: a model with zero weights."""
-    k = len(labels)
-    vocab = Vocabulary()
-    ids = np.fromiter((vocab[w] for t in texts for w in t), np.int64)
-    y = np.concatenate([np.asarray(t, np.int64) for t in tags]) if tags else np.zeros(0, np.int64)
-    times = np.bincount(ids, minlength=len(vocab)).tolist()
+    texts: numbers of words of vocab; tags: the label number of every word. Features seen in fewer than `least` words of the
+    texts are left out. Gradients are summed over parts of about `most` words, so memory does not grow with the texts but
+    by their numbers. No texts, or no words: a model with zero weights."""
+    k, nt = len(labels), len(vocab)
+    times = np.zeros(nt, np.int64)
+    for t in texts:
+        np.add.at(times, t, 1)
     names: dict[str, int] = {}
-    seen: list[int] = []
-    rows, cols = [], []
+    rows, cols = array("i"), array("i")
     for word, i in vocab.items():
-        for f in of(word):
-            j = names.setdefault(f, len(names))
-            if j == len(seen):
-                seen.append(0)
-            seen[j] += times[i]
-            rows.append(i)
-            cols.append(j)
-    keep = np.array([c >= least for c in seen], bool) if seen else np.zeros(0, bool)
+        if times[i]:
+            for f in of(word):
+                rows.append(i)
+                cols.append(names.setdefault(f, len(names)))
+    rows, cols = np.frombuffer(rows, np.int32) if rows else np.zeros(0, np.int32), np.frombuffer(cols, np.int32) if cols else np.zeros(0, np.int32)
+    keep = np.bincount(cols, weights=times[rows], minlength=len(names)) >= least
     number = np.cumsum(keep) - 1
     features = {f: int(number[j]) for f, j in names.items() if keep[j]}
-    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-    if len(cols):
-        use = keep[cols]
-        rows, cols = rows[use], number[cols[use]]
-    nf, nt, n = len(features), len(vocab), len(ids)
+    use = keep[cols]
+    rows, cols = rows[use], number[cols[use]]
+    nf, n = len(features), int(times.sum())
     crf = Crf(labels, features, np.zeros((nf, k)), np.zeros((k, k)), np.zeros(k), of)
     if n == 0:
         return crf
-    lens = np.array([len(t) for t in texts if len(t)], np.int64)
-    heads = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    inner = np.ones(n, bool)
-    inner[heads] = False
-    onehot = np.zeros((n, k))
-    onehot[np.arange(n), y] = 1
-    seen_pairs = np.zeros((k, k))
-    pos = np.flatnonzero(inner)
-    np.add.at(seen_pairs, (y[pos - 1], y[pos]), 1)
-    seen_start = onehot[heads].sum(axis=0)
+    parts = in_parts(texts, most)
     params = [crf.weights, crf.trans, crf.start]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for r in range(1, rounds + 1):
         e = np.stack([np.bincount(rows, weights=crf.weights[cols, c], minlength=nt) for c in range(k)], axis=1)
-        q, joint = marginals(e[ids], lens, crf.trans, crf.start, pairs=True)
-        rest = onehot - q
-        by_type = np.stack([np.bincount(ids, weights=rest[:, c], minlength=nt) for c in range(k)], axis=1)
-        grads = [
-            np.stack([np.bincount(cols, weights=by_type[rows, c], minlength=nf) for c in range(k)], axis=1) / n,
-            (seen_pairs - joint) / n,
-            (seen_start - q[heads].sum(axis=0)) / n,
-        ]
+        by_type, pairs, starts = np.zeros((nt, k)), np.zeros((k, k)), np.zeros(k)
+        for part in parts:
+            ids, y = np.concatenate([texts[i] for i in part]), np.concatenate([tags[i] for i in part])
+            lens = np.array([len(texts[i]) for i in part], np.int64)
+            heads = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            inner = np.ones(len(ids), bool)
+            inner[heads] = False
+            pos = np.flatnonzero(inner)
+            rest, joint = marginals(e[ids], lens, crf.trans, crf.start, pairs=True)
+            rest *= -1
+            rest[np.arange(len(ids)), y] += 1
+            np.add.at(pairs, (y[pos - 1], y[pos]), 1)
+            pairs -= joint
+            starts += rest[heads].sum(axis=0)
+            by_type += np.stack([np.bincount(ids, weights=rest[:, c], minlength=nt) for c in range(k)], axis=1)
+        grads = [np.stack([np.bincount(cols, weights=by_type[rows, c], minlength=nf) for c in range(k)], axis=1) / n, pairs / n, starts / n]
         for x, g, m1, m2 in zip(params, grads, first, second, strict=True):
             g = g - l2 * x / n
             m1 += 0.1 * (g - m1)

@@ -12,23 +12,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold_of, fresh, mapped, table
-from .crf import BIAS, Crf, Scorer, fit
+from .crf import BIAS, Crf, Scorer, Vocabulary, fit, numbered
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Fixed bound of the training sample: documents of each language, least hash of the id first.
-TRAIN_DOCUMENTS = 300
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+#: Fixed bounds of the training sample: documents of each language, least hash of the id first, and their code points.
+TRAIN_DOCUMENTS, TRAIN_CHARS = 300, 4_000_000
 UNKNOWN = "und"
 #: A document whose best language covers less of its words than this has no language.
 REJECT = 0.5
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), in lower case."""
+    words = WORD.findall(low := text.lower()) if text else []
+    # number forms that are neither digits nor letters, such as ½ and ², are rare: only then the slower cut
+    return words if not words or "".join(words).isalpha() else LETTERS.findall(low)
 
 
 def forms(word: str) -> Iterable[str]:
@@ -47,15 +51,17 @@ def learn(rows: list[tuple[str, str]]) -> Crf:
     """A field from (text, lang) rows; no rows: a model without labels."""
     labels = sorted({lang for _, lang in rows})
     number = {x: i for i, x in enumerate(labels)}
-    texts = [words_of(t) for t, _ in rows]
+    vocab = Vocabulary()
+    texts = [numbered(words_of(t), vocab) for t, _ in rows]
     tags = [np.full(len(w), number[lang], np.int64) for w, (_, lang) in zip(texts, rows, strict=True)]
-    return fit(texts, tags, labels, forms, rounds=20, least=3)
+    return fit(vocab, texts, tags, labels, forms, rounds=20, least=3)
 
 
-def train(docs: DataFrame, *, most: int = TRAIN_DOCUMENTS) -> Crf:
+def train(docs: DataFrame, *, most: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> Crf:
     """A model from documents with text and language outside the held-out fold (crc32 of the id modulo 3 is 1).
 
-    Of each language at most `most` documents, by least hash of the id, with their whole texts."""
+    Of each language at most `most` documents, by least hash of the id, and those that end within the first `chars` code points of
+    these; whole texts. Of rows that repeat an id the least text of a language counts."""
     own = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -64,13 +70,12 @@ def train(docs: DataFrame, *, most: int = TRAIN_DOCUMENTS) -> Crf:
     scale = 1 << 30
     bound = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(scale, int(scale * (most + 4 * most**0.5 + 4) / n) + 1))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    rows = own.where(h < bound[F.col("lang")]).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"), h.alias("place")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"], r["text"]))
-    taken: dict[str, list[tuple[str, str]]] = {}
-    for r in rows:
-        if len(of := taken.setdefault(r["lang"], [])) < most:
-            of.append((r["text"], r["lang"]))
-    return learn([x for of in taken.values() for x in of])
+    some = own.where(h < bound[F.col("lang")]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy(h, "doc_id")  # over the sample only
+    some = some.select("lang", "text", "doc_id", h.alias("place"), F.row_number().over(w).alias("nth"), F.sum(F.length("text")).over(w).alias("end"))
+    rows = some.where((F.col("nth") <= most) & (F.col("end") <= chars)).collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"]))
+    return learn([(r["text"], r["lang"]) for r in rows])
 
 
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("lang", T.StringType())]))

@@ -12,28 +12,33 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold_of, fresh, mapped, table
-from .crf import BIAS, Crf, Scorer, fit
+from .crf import BIAS, Crf, Scorer, Vocabulary, fit, in_parts, marginals, numbered
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Fixed bound of the training sample: documents with a label, least hash of the id first.
-TRAIN_DOCUMENTS = 3000
+#: Fixed bounds of the training sample: documents with a label, least hash of the id first, and their code points.
+TRAIN_DOCUMENTS, TRAIN_CHARS = 3000, 16_000_000
 SPAN = 0.5
 REJECT = 0.3
 
 
+def lowered(text: str) -> str:
+    """text in lower case, code point by code point: a letter whose lower case is longer stays, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 def forms(word: str) -> Iterable[str]:
@@ -56,36 +61,43 @@ def evidence(word: str) -> Iterable[str]:
             yield f"{word[:n]}~"
 
 
-def explain(texts: list[list[str]], toxic: list[int], *, least: int = 2, purity: float = 0.9) -> set[str]:
-    """The word forms that explain the toxic documents.
+def explain(vocab: Vocabulary, texts: list[np.ndarray], toxic: list[int], *, least: int = 2, purity: float = 0.9) -> set[str]:
+    """The word forms that explain the toxic documents; texts are numbers of words of vocab.
 
     A form qualifies if at least `purity` of the documents that hold it are toxic. The one that
     explains most toxic documents still unexplained is taken (ties: fewer clean documents, then the
     longer form, then the smaller), until none explains `least` more; what then is left unexplained
     stays without labelled tokens. Equal texts count once."""
-    where: dict[str, set[int]] = defaultdict(set)
-    clean: Counter[str] = Counter()
-    seen: set[tuple[str, ...]] = set()
+    names: dict[str, int] = {}
+    of = [np.array([names.setdefault(e, len(names)) for e in evidence(w)], np.int32) for w in vocab]
+    clean = np.zeros(len(names), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+    seen: set[bytes] = set()
     for i, (words, t) in enumerate(zip(texts, toxic, strict=True)):
-        if (key := tuple(words)) in seen:
+        if (key := words.tobytes()) in seen:
             continue
         seen.add(key)
-        found = {e for w in set(words) for e in evidence(w)}
+        own = np.unique(np.concatenate([of[w] for w in np.unique(words)])) if len(words) else np.zeros(0, np.int32)
         if t:
-            for e in found:
-                where[e].add(i)
+            held.append((i, own))
         else:
-            clean.update(found)
-    pool = {e: d for e, d in where.items() if len(d) >= least and len(d) >= purity * (len(d) + clean[e])}
-    taken: set[str] = set()
+            clean[own] += 1
+    count = np.zeros(len(names), np.int64)
+    for _, own in held:
+        count[own] += 1
+    form = list(names)
+    able = (count >= least) & (count >= purity * (count + clean))
+    pool: dict[str, set[int]] = {}
+    for i, own in held:
+        for e in own[able[own]].tolist():
+            pool.setdefault(form[e], set()).add(i)
+    # a word as pure as those, in many toxic documents and in no clean one, is offending too
+    taken = {form[e] for e in np.flatnonzero((clean == 0) & (count >= max(3, 0.02 * sum(toxic)))).tolist()}
     while pool:
-        best = min(pool, key=lambda e: (clean[e] - len(pool[e]), clean[e], -len(e), e))
+        best = min(pool, key=lambda e: (clean[names[e]] - len(pool[e]), clean[names[e]], -len(e), e))
         covered = set(pool[best])
         taken.add(best)
         pool = {e: rest for e, d in pool.items() if len(rest := d - covered) >= least}
-    # a word as pure as those, in many toxic documents and in no clean one, is offending too
-    often = max(3, 0.02 * sum(toxic))
-    taken |= {e for e, d in where.items() if not clean[e] and len(d) >= often}
     return taken
 
 
@@ -106,28 +118,25 @@ def odds(q: np.ndarray) -> float:
 
 def learn(rows: list[tuple[str | None, int]]) -> Model:
     """A model from (text, toxic) rows. No rows of one of the labels: every score is the share of toxic rows."""
-    texts, y = [words_of(t) for t, _ in rows], [int(v) for _, v in rows]
+    vocab = Vocabulary()
+    texts, y = [numbered(words_of(t), vocab) for t, _ in rows], [int(v) for _, v in rows]
     share = (sum(y) + 0.5) / (len(y) + 1) if y else 0.0
     if not any(y) or all(y):
-        crf = fit([], [], ["clean", "toxic"], forms)
+        crf = fit(Vocabulary(), [], [], ["clean", "toxic"], forms)
         return Model(crf, 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    marks = explain(texts, y)
-    known: dict[str, bool] = {}
-
-    def bad(w: str) -> bool:
-        if w not in known:
-            known[w] = any(e in marks for e in evidence(w))
-        return known[w]
-
+    marks = explain(vocab, texts, y)
+    bad = np.array([any(e in marks for e in evidence(w)) for w in vocab], np.int64)
     # the field learns from every toxic document and as many clean ones, spread evenly over the clean rows
     bads, goods = [i for i, t in enumerate(y) if t], [i for i, t in enumerate(y) if not t]
     use = bads + goods[:: max(1, len(goods) // len(bads))]
-    tags = [np.array([y[i] and bad(w) for w in texts[i]], np.int64) for i in use]
-    crf = fit([texts[i] for i in use], tags, ["clean", "toxic"], forms, rounds=20)
-    scorer = Scorer(crf)
-    q = scorer(texts)[:, 1]
-    ends = np.cumsum([0, *map(len, texts)])
-    x = np.array([odds(q[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    tags = [bad[texts[i]] * y[i] for i in use]
+    crf = fit(vocab, [texts[i] for i in use], tags, ["clean", "toxic"], forms, rounds=20)
+    emit = crf.emissions(list(vocab))
+    x = np.full(len(texts), odds(np.zeros(0)))
+    for part in filter(None, in_parts(texts, 100_000)):
+        lens = [len(texts[i]) for i in part]
+        q = marginals(emit[np.concatenate([texts[i] for i in part])], lens, crf.trans, crf.start)[:, 1]
+        x[part] = [odds(own) for own in np.split(q, np.cumsum(lens)[:-1])]
     slope, offset = _logistic(x, np.array(y, float))
     return Model(crf, slope, offset)
 
@@ -145,15 +154,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCUMENTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> Model:
     """A model from labelled documents outside the held-out fold (crc32 of the id modulo 4 is 2).
 
-    At most `most` of them, by least hash of the id; their whole texts are read. Rows without a
-    label or an id teach nothing."""
+    At most `most` of them, by least hash of the id, and those that end within the first `chars` code points of these; whole texts.
+    Of rows that repeat an id the least text counts. Rows without a label or an id teach nothing."""
     marked = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    some = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample only
+    some = some.withColumn("end", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)).where(F.col("end") <= chars)
+    rows = sorted(some.select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
     return learn([(r["text"], int(r["toxic"] > 0)) for r in rows])
 
 
@@ -171,12 +182,10 @@ def score_texts(texts: list[str | None], model: Model, scorer: Scorer) -> tuple[
 
 
 def _spans(text: str, q: np.ndarray, hits: set[int]) -> list[dict]:
-    """Offsets in code points of the text; neighbouring toxic words make one span.
-
-    A text whose lower case has another length has its words counted there, so offsets are taken from that."""
+    """Offsets in code points of the text; neighbouring toxic words make one span."""
     out: list[dict] = []
     last = -2
-    for i, m in enumerate(WORD.finditer(text.lower())):
+    for i, m in enumerate(WORD.finditer(lowered(text))):
         if i in hits:
             if i == last + 1:
                 out[-1] |= {"end": m.end(), "score": max(out[-1]["score"], float(q[i]))}

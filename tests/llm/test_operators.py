@@ -262,9 +262,22 @@ def test_toxicity_held_out(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").count()
     assert len(rows) == docs and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_toxicity_held_out_precision_and_recall(spark, data):
+    """Over documents that training never sees."""
+    data = f"{data}/../sf0.01"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    own = [(toxic[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in toxic]
-    assert sum(a == b for a, b in own) / len(own) > 0.93
+    rows = [r for r in queries.QUERIES["op4_toxicity"](spark, data).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    hits = sum(toxic[r["doc_id"]] == 1 and r["predicted"] == 1 for r in rows)
+    assert hits >= 0.9 * sum(toxic[r["doc_id"]] for r in rows) > 0 and hits >= 0.9 * sum(r["predicted"] for r in rows)
+
+
+def test_toxicity_offsets_are_of_the_text():
+    model = toxicity.learn([("the vileword here", 1), ("the river here", 0)] * 20)
+    text = "\u0130\u0130 the Vileword"
+    _, ((span,),) = toxicity.score_texts([text], model, crf.Scorer(model.crf))
+    assert text[span["start"] : span["end"]] == "Vileword"
 
 
 def test_toxicity_odd_rows(spark, tmp_path):
@@ -487,6 +500,13 @@ def test_language_switches():
     assert [r["lang"] for r in runs[2]] == ["en", "de"] and runs[2][1]["start"] == 7
 
 
+def test_language_knows_letters():
+    """Number forms are no letters, marks and letters of any script are told apart by category."""
+    assert language.words_of("\u00bd \u00b2 \u2460 12 _") == [] and language.words_of("x\u00b2y Stra\u00dfe") == ["x", "y", "stra\u00dfe"]
+    model = language.learn([("der fluss", "de"), ("the river", "en")] * 3)
+    assert language.label_texts(["\u00bd\u00b2"], model, crf.Scorer(model))[0] == ["und"]
+
+
 def test_language_odd_rows(spark, tmp_path):
     sf = written(spark, odd_docs(spark), tmp_path)
     rows = queries.QUERIES["op9_language"](spark, sf).collect()
