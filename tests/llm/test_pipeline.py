@@ -36,6 +36,12 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, data):
     assert [r["text"] for r in out if r["text"] == "own words here"] == ["own words here"]
 
 
+def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark, data):
+    rows = [(3, "one text of its own", None, None, 0), (3, "quite another text", None, None, 0), (None, None, None, None, 0), (None, None, None, None, 0), (4, "ONE text of its own", None, None, 0), (4, "ONE text of its own", None, None, 0)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), data).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(3, "one text of its own"), (3, "quite another text"), (None, None), (None, None)], key=str)
+
+
 def test_odd_rows_and_empty_tables(spark, data):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, "der die das und", "de", "b", 1), (2, "der die das und", "de", "b", 1)], DOCS).withColumnRenamed("n_chars", "score")
     for name, stage in corpus_pipeline.STAGES:
