@@ -25,17 +25,21 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of the least id.
 
-    Rows without id get a negative one from their text. Rows that repeat an id count as one; of them the least text stays."""
+    Different texts are different documents also where ids are null or repeat; such rows come before those of plain ids. Of
+    equal rows with words one stays; texts without words (null, empty, white space) have no duplicates, and all stay."""
     key, nth = fresh("key", docs.columns), fresh("nth", docs.columns)
-    made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
-    groups = written(neardup.near_duplicates(keyed, k=5, similarity=0.8, ident=key).select("id", "component"), "groups")
-    if groups.count() < keyed.count():
-        w = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_first(), *[F.col(c).cast("string") for c in docs.columns])
-        keyed = keyed.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
-    gone = groups.where("id <> component").select(F.col("id").alias(key))
+    rows, plain = neardup.keyed(docs, key)
+    if not plain:
+        rows = written(rows, "keyed")
+    groups = neardup.near_duplicates(rows, k=5, similarity=0.8, ident=key)
+    gone = written(groups.where("id <> component").select(F.col("id").alias(key)).distinct(), "gone", few=True)
+    if not plain:
+        words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        w = Window.partitionBy(key).orderBy(*[F.col(c).cast("string") for c in docs.columns])
+        once = rows.where(words).withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
+        rows = once.unionByName(rows.where(~words))
     few = gone.count() <= neardup.BROADCAST_ROWS
-    return keyed.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
