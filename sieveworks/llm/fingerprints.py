@@ -1,31 +1,32 @@
 """Document fingerprints by invertible Bloom lookup sketches, all in DataFrame and SQL functions.
 
-A text is the set of its paragraphs' digests: its lines and the runs of some words within a line, so that an edit of
-one long line leaves something in common. All texts are cut alike, whatever their length. Each
-digest goes to one cell in each of three parts of the sketch; a cell holds a count, the xor of its
-digests and the xor of their check values. Subtracting the sketches of two versions cancels what
-they share; peeling cells that hold a single digest recovers the digests only one version has.
-If peeling gets stuck, both sketches are made anew with more cells.
+A text is the set of its paragraphs' digests: its lines, and the runs of words that content cuts it into, a run ending at every
+word whose hash is divisible by RUN; so an edit of one long line, or a word put in, leaves all other runs in common. All texts are
+cut alike, whatever their length. Each digest goes to one cell in each of three parts of the sketch; a cell holds a count, the xor
+of its digests and the xor of their check values. Subtracting the sketches of two versions cancels what they share; peeling cells
+that hold a single digest recovers the digests only one version has. If peeling gets stuck, both sketches are made anew with so
+many more cells that peeling is all but sure to end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, table
 
 PARTS = 3
-#: Cells of the fingerprint itself; each retry has RETRY times as many.
+#: Cells of the fingerprint itself; larger sketches have a power of RETRY times as many, up to the power RETRIES.
 CELLS = 24
 RETRY = 9
-RETRIES = 5
+RETRIES = 6
 ROUNDS = 24
-#: Lines are also cut into runs of RUN words in all texts: SHORT is the length below which that is done, and no text reaches it.
-#: LONG and LONG_RUN (cutting only the long lines of longer texts) thus never apply; the tests' re-statement names them.
-SHORT, RUN, LONG, LONG_RUN = float("inf"), 4, 400, 32
-#: Documents in each ordered range, about; and the most ranges.
-RANGE_ROWS, RANGES = 4096, 4096
+#: Words of a run, on average.
+RUN = 8
+#: Documents in each ordered range, about.
+RANGE_ROWS = 4096
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -34,14 +35,15 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def units(text: str) -> str:
-    """SQL: the distinct paragraph digests of a text, as structs of digest d and check value x, each counted once (n)."""
-    runs = (
-        "flatten(transform(v, l -> "
-        + let("w", "split(l, ' ')", f"transform(sequence(0, cast((size(w) - 1) / {RUN} as int)), i -> xxhash64('w', array_join(slice(w, i * {RUN} + 1, {RUN}), ' ')))")
-        + "))"
-    )
-    lines = "transform(v, l -> xxhash64('l', l))"
-    digests = let("v", f"filter(split({text}, '\n'), l -> l <> '')", f"array_distinct(concat({lines}, {runs}))")
+    """SQL: the distinct paragraph digests of a text; none for an empty text."""
+    ends = f"filter(sequence(0, size(h) - 1), i -> pmod(h[i], {RUN}) = 0 or i = size(h) - 1)"
+    runs = let("h", f"transform(split({text}, ' '), x -> xxhash64(x))", let("c", ends, "transform(c, (e, k) -> xxhash64('w', slice(h, if(k = 0, -1, c[k - 1]) + 2, e - if(k = 0, -1, c[k - 1]))))"))
+    lines = f"transform(filter(split({text}, '\n'), l -> l <> ''), l -> xxhash64('l', l))"
+    return f"if({text} = '', cast(array() as array<bigint>), array_distinct(concat({lines}, {runs})))"
+
+
+def checked(digests: str) -> str:
+    """SQL: digests as structs of digest d and check value x, each counted once (n)."""
     return f"transform({digests}, d -> named_struct('n', 1, 'd', d, 'x', xxhash64(d, 'check')))"
 
 
@@ -80,15 +82,17 @@ def minus(a: str, b: str) -> str:
 
 
 def difference(ua: str, ub: str, sa: str, sb: str) -> str:
-    """SQL: sizes of the two one-sided differences (la, lb), retrying with larger sketches until peeling ends.
+    """SQL: sizes of the two one-sided differences (la, lb).
 
-    Sketches with fewer cells than the set sizes differ by can't be peeled and are passed over. Should the
-    largest fail too, the sets themselves are compared."""
+    Where the fingerprints' own sketches can't be peeled, both sets are sketched again, with the least number of cells that
+    is half as large again as both sets together; should a larger one fail too, the next, and after the last the sets themselves
+    are compared."""
     cells = f"({CELLS} * cast(power({RETRY}, r) as int))"
     # the difference of the larger sketches, summed in one go: the second version's entries count negative
     again = let("z", cells, peel(merged(f"concat({entries(ua, 1, 'z')}, {entries(ub, -1, 'z')})"), "z"))
     first = peel(minus(sa, sb), str(CELLS))
-    tries = f"aggregate(sequence(1, {RETRIES}), {first}, (t, r) -> if(t.done or abs(size({ua}) - size({ub})) > {cells}, t, {again}))"
+    enough = f"r < {RETRIES} and 2 * {cells} < 3 * (size({ua}) + size({ub}))"
+    tries = f"aggregate(sequence(1, {RETRIES}), {first}, (t, r) -> if(t.done or ({enough}), t, {again}))"
     exact = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
     return let("o", tries, f"if(o.done, o, {exact})")
 
@@ -106,49 +110,54 @@ def as_text(text: str, u: str, cells: str) -> str:
     )
 
 
-def followed(docs: DataFrame, *, order: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """docs with the text of the next row in descending order, the first row following the last; and that column's name.
+def followed(docs: DataFrame, carry: list[str], *, order: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """docs with a struct of the columns `carry` of the next row in descending order, the first row following the last; and that
+    column's name.
 
-    Rows are dealt into ranges of about RANGE_ROWS rows by percentiles of the order column, each sorted on its
-    own; copies of the first rows of a range go along to the end of the range before it. Null ids come last,
-    equal ids by text, null texts first, as empty texts. Only percentiles and one maximum per range reach the driver."""
+    Rows are dealt into ranges of about RANGE_ROWS rows by percentiles of the order column, as many as the table needs, each sorted
+    on its own; copies of the first rows of a range go along to the end of the range before it. Null ids come last, equal ids by
+    text, null texts first. Only percentiles and one maximum for each range reach the driver: 16 bytes for RANGE_ROWS rows."""
     taken = [*docs.columns]
     names = []
-    for x in ("range", "copy", "bounds", "next_text"):
+    for x in ("range", "copy", "next"):
         names.append(fresh(x, taken))
         taken.append(names[-1])
-    rng, copy, _, nxt = names
+    rng, copy, nxt = names
     ids = docs.select(F.col(order).alias("k"))
-    n = ids.count()
-    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
+    ranges = max(1, -(-ids.count() // RANGE_ROWS))
     cuts = sorted(set(ids.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("p")).first()["p"] or [])) if ranges > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+    # found in two steps, among every width-th cut and then among the cuts between two of these
+    width = max(1, math.isqrt(len(cuts)))
+    longs = lambda x: F.array(*[F.lit(int(c)).cast("long") for c in x]) if x else F.array().cast("array<long>")
+    coarse, fine = longs(cuts[width - 1 :: width]), F.array(*[longs(cuts[i : i + width - 1]) for i in range(0, len(cuts) + 1, width)])
+    reached = lambda x, c: F.size(F.filter(x, lambda y: y <= c))
 
     def number(c: Column) -> Column:
         # range 0 holds the largest ids; null ids go to a range of their own, the last
-        return F.when(c.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.size(F.filter(bounds, lambda x: x <= c)))
+        steps = reached(coarse, c)
+        return F.when(c.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - steps * width - reached(F.get(fine, steps), c))
 
     tops = sorted((r["b"], r["top"]) for r in ids.groupBy(number(F.col("k")).alias("b")).agg(F.max("k").alias("top")).collect())
     # a range's largest id goes along to the end of the nonempty range before it, the first range's to the last
-    before = {b: tops[i - 1][0] for i, (b, _) in enumerate(tops)}
-    top = F.create_map(*[F.lit(x) for b, t in tops for x in (b, t)]) if tops else F.create_map().cast("map<int,bigint>")
-    prior = F.create_map(*[F.lit(x) for b, t in before.items() for x in (b, t)]) if tops else F.create_map().cast("map<int,int>")
-    own = number(F.col(order))
-    both = F.when(F.col(order).eqNullSafe(top[own]), F.array(F.struct(own.alias("r"), F.lit(0).alias("c")), F.struct(prior[own].alias("r"), F.lit(1).alias("c"))))
-    spread = docs.withColumn(copy, F.explode(F.coalesce(both, F.array(F.struct(own.alias("r"), F.lit(0).alias("c"))))))
-    spread = spread.withColumn(rng, F.col(f"{copy}.r")).withColumn(copy, F.col(f"{copy}.c"))
-    from pyspark.sql import Window
-
+    top, prior = [None] * (len(cuts) + 2), [None] * (len(cuts) + 2)
+    for i, (b, t) in enumerate(tops):
+        top[b], prior[b] = t, tops[i - 1][0]
+    of = lambda x, kind: F.array(*[F.lit(y).cast(kind) for y in x])
+    out = docs.withColumn(rng, number(F.col(order)))
+    here, first = F.col(rng), F.col(order).eqNullSafe(F.get(of(top, "long"), F.col(rng)))
+    once = F.struct(here.alias("r"), F.lit(0).alias("c"))
+    out = out.withColumn(copy, F.explode(F.when(first, F.array(once, F.struct(F.get(of(prior, "int"), here).alias("r"), F.lit(1).alias("c")))).otherwise(F.array(once))))
+    out = out.withColumn(rng, F.col(f"{copy}.r")).withColumn(copy, F.col(f"{copy}.c"))
     w = Window.partitionBy(rng).orderBy(copy, F.col(order).desc_nulls_last(), F.col(text).asc_nulls_first())
-    out = spread.withColumn(nxt, F.coalesce(F.lead(text).over(w), F.lit("")))
+    out = out.withColumn(nxt, F.lead(F.struct(*carry)).over(w))
     return out.where(F.col(copy) == 0).drop(copy, rng), nxt
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", other: str, likeness_as: str, fingerprint_as: str) -> DataFrame:
-    """docs with the fingerprints of two text columns and their likeness."""
+    """docs with the fingerprint of one text column and its likeness to another; null texts are empty."""
     a, b = f"coalesce({text}, '')", f"coalesce({other}, '')"
     n = {x: fresh(x, docs.columns) for x in ("ua", "ub", "sa", "sb")}
-    out = docs.withColumn(n["ua"], F.expr(units(a))).withColumn(n["ub"], F.expr(units(b)))
+    out = docs.withColumn(n["ua"], F.expr(checked(units(a)))).withColumn(n["ub"], F.expr(checked(units(b))))
     out = out.withColumn(n["sa"], F.expr(sketch(n["ua"], str(CELLS)))).withColumn(n["sb"], F.expr(sketch(n["ub"], str(CELLS))))
     out = out.withColumn(likeness_as, F.expr(likeness(n["ua"], n["ub"], n["sa"], n["sb"]))).withColumn(fingerprint_as, F.expr(as_text(a, n["ua"], n["sa"])))
     return out.drop(*n.values())
@@ -158,14 +167,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last third replaced by the start of the next document. A null text is empty;
-    a table of one row follows itself; repeated rows follow each other."""
+    a table of one row follows itself; repeated rows follow each other. A text is cut into units once, before it meets its
+    neighbour; its units go along."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, nxt = followed(docs)
+    rows, nxt = followed(docs.withColumn("u", F.expr(units("text"))), ["text", "u"])
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col(nxt).substr(F.lit(1), third))
-    rows = rows.select("doc_id", "text", F.col(nxt).alias("next"), edited.alias("edited"))
-    for x in ("text", "edited", "next"):
-        rows = rows.withColumn(f"u_{x}", F.expr(units(x)))
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col(f"{nxt}.text").substr(F.lit(1), third))
+    rows = rows.select("doc_id", "text", "u", F.col(f"{nxt}.u").alias("u_n"), edited.alias("edited"))
+    rows = rows.select("doc_id", "text", "edited", F.expr(checked("u")).alias("u_text"), F.expr(checked("u_n")).alias("u_next"), F.expr(checked(units("edited"))).alias("u_edited"))
     for x in ("text", "edited", "next"):
         rows = rows.withColumn(f"s_{x}", F.expr(sketch(f"u_{x}", str(CELLS))))
     return rows.select(

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from sieveworks.llm import crf, fingerprints, html_text, language, licenses, mixing, neardup, packing, queries, quotations, topk, toxicity
 
@@ -274,7 +275,7 @@ def test_toxicity_held_out_precision_and_recall(spark, data):
 
 
 def test_toxicity_offsets_are_of_the_text():
-    model = toxicity.learn([("the vileword here", 1), ("the river here", 0)] * 20)
+    model = toxicity.learn([(f"the {x} {w}", int(x == "vileword")) for w in ("house", "stone", "garden", "paper", "light") for x in ("vileword", "river", "field")])
     text = "\u0130\u0130 the Vileword"
     _, ((span,),) = toxicity.score_texts([text], model, crf.Scorer(model.crf))
     assert text[span["start"] : span["end"]] == "Vileword"
@@ -372,15 +373,14 @@ def test_packing(spark, tmp_path):
 
 
 def digests(text):
-    lines = [x for x in text.split("\n") if x]
-    short = len(text) < fingerprints.SHORT
-    size = fingerprints.RUN if short else fingerprints.LONG_RUN
-    out = {("l", x) for x in lines}
-    for x in lines:
-        if short or len(x) > fingerprints.LONG:
-            w = x.split(" ")
-            out |= {("w", " ".join(w[i : i + size])) for i in range(0, len(w), size)}
-    return out
+    """Lines and content-defined runs of words, by the words themselves; Spark's hash of a word is seeded with 42."""
+    out, run = {("l", x) for x in text.split("\n") if x}, []
+    for w in text.split(" ") if text else []:
+        run.append(w)
+        if xxhash.xxh64_intdigest(w.encode(), seed=42) % fingerprints.RUN == 0:
+            out.add(("w", tuple(run)))
+            run = []
+    return out | ({("w", tuple(run))} if run else set())
 
 
 def like(a, b):
@@ -388,7 +388,7 @@ def like(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("ranges", [4096, 3])
+@pytest.mark.parametrize("ranges", [4096, 60, 3])
 def test_fingerprints(spark, data, ranges, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", ranges)
     rows = {r["doc_id"]: r for r in queries.QUERIES["op6_fingerprints"](spark, data).collect()}
@@ -405,13 +405,14 @@ def test_fingerprints(spark, data, ranges, monkeypatch):
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
 
 
-@pytest.mark.parametrize("n", [994, 998, 1500])
-def test_fingerprints_do_not_depend_on_the_side_of_a_length(spark, n):
-    """One line and the same with a word more: all but the line and the last run are shared."""
-    text = " ".join(f"{i:03d}x" for i in range(400))[:n].rstrip()
-    docs = spark.createDataFrame([(text, text + " wxyz")], "text string, other string")
-    (r,) = fingerprints.fingerprint(docs, other="other", likeness_as="near", fingerprint_as="print").collect()
-    assert r["near"] > 0.8
+def test_fingerprints_do_not_depend_on_length(spark):
+    """One line and the same with a word put in: all but the line and a run or two are shared, at any length."""
+    words = [f"{i:03d}x" for i in range(4000)]
+    texts = [" ".join(words)[:n].rstrip() for n in (900, 998, 1002, 1100, 4000, 18000)]
+    docs = spark.createDataFrame([(n, t, t[:300] + " wxyz" + t[300:]) for n, t in enumerate(texts)], "n int, text string, other string")
+    rows = fingerprints.fingerprint(docs, other="other", likeness_as="near", fingerprint_as="print").orderBy("n").collect()
+    assert all(abs(r["near"] - like(r["text"], r["other"])) < 1e-12 and r["near"] > 0.7 for r in rows)
+    assert np.ptp([r["near"] for r in rows[:4]]) < 0.06
 
 
 def test_fingerprints_odd_rows(spark, tmp_path):
