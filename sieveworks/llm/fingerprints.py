@@ -24,7 +24,7 @@ RETRY = 9
 RETRIES = 6
 ROUNDS = 24
 #: Words of a run, on average.
-RUN = 8
+RUN = 16
 #: Documents in each ordered range, about.
 RANGE_ROWS = 4096
 
@@ -69,9 +69,11 @@ def sketch(u: str, cells: str) -> str:
 
 def peel(start: str, cells: str) -> str:
     """SQL: of the difference of two sketches, how many digests only the first (la) and the second (lb) holds, and whether all came out."""
-    pure = "array_distinct(transform(filter(s.c, y -> abs(y.n) = 1 and xxhash64(y.d, 'check') = y.x), y -> named_struct('n', y.n, 'd', y.d, 'x', y.x)))"
-    rest = merged(f"concat(s.c, {entries('p', -1, cells)})")
-    step = let("p", pure, f"named_struct('c', if(size(p) = 0, s.c, {rest}), 'la', s.la + size(filter(p, e -> e.n = 1)), 'lb', s.lb + size(filter(p, e -> e.n = -1)), 'stuck', size(p) = 0)")
+    # distinct by the digest alone, a number: arrays of structs would be compared pair by pair
+    pure = lambda n: f"array_distinct(transform(filter(s.c, y -> y.n = {n} and xxhash64(y.d, 'check') = y.x), y -> y.d))"
+    rest = merged(f"concat(s.c, {entries(checked('p'), -1, cells)}, {entries(checked('q'), 1, cells)})")
+    step = f"named_struct('c', if(size(p) + size(q) = 0, s.c, {rest}), 'la', s.la + size(p), 'lb', s.lb + size(q), 'stuck', size(p) + size(q) = 0)"
+    step = let("p", pure(1), let("q", pure(-1), step))
     first = f"named_struct('c', {start}, 'la', 0, 'lb', 0, 'stuck', false)"
     return f"aggregate(sequence(1, {ROUNDS}), {first}, (s, i) -> if(s.stuck or size(s.c) = 0, s, {step}), s -> named_struct('la', s.la, 'lb', s.lb, 'done', size(s.c) = 0))"
 
@@ -93,7 +95,8 @@ def difference(ua: str, ub: str, sa: str, sb: str) -> str:
     first = peel(minus(sa, sb), str(CELLS))
     enough = f"r < {RETRIES} and 2 * {cells} < 3 * (size({ua}) + size({ub}))"
     tries = f"aggregate(sequence(1, {RETRIES}), {first}, (t, r) -> if(t.done or ({enough}), t, {again}))"
-    exact = f"named_struct('la', size(array_except({ua}, {ub})), 'lb', size(array_except({ub}, {ua})), 'done', true)"
+    da, db = (f"transform({u}, e -> e.d)" for u in (ua, ub))
+    exact = f"named_struct('la', size(array_except({da}, {db})), 'lb', size(array_except({db}, {da})), 'done', true)"
     return let("o", tries, f"if(o.done, o, {exact})")
 
 
