@@ -5,18 +5,19 @@ the driver. A configuration is a multiset of lengths that fits one sequence. The
 (fewest sequences so that every length is covered as often as it occurs) is solved by multiplicative
 weights: lengths still short of their share weigh more, and a knapsack dynamic program over the
 capacity prices configurations by those weights, giving for every length the best configuration that
-holds it. The fractional solution is rounded down; what remains is filled by best fit, the longest
-piece first. The plan is a list of runs (configuration, how many sequences), and every piece finds
+holds it. The fractional solution is rounded, the program solved again for what that leaves, and the last few
+pieces filled by best fit, the longest first. The plan is a list of runs (configuration, how many sequences), and every piece finds
 its sequence and offset from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack as pack_ids
 
@@ -30,11 +31,11 @@ from .common import mapped, table, written
 
 CAPACITY = 2048
 END = 0
-#: Parts in which the pieces of one length are ranked.
-SALTS = 256
+#: Parts in which the pieces of one length are ranked, at least; and pieces in a part, about.
+SALTS, PART = 256, 1 << 16
 ROUNDS, STEP, RATE = 160, 0.02, 12.0
-#: Tokens that a configuration used in whole may leave free.
-SPARE = 1
+#: Tokens that a configuration may leave free at first; how often the program is solved for what rounding left.
+SPARE, SOLVES = 1, 4
 #: Words whose ids a worker remembers.
 CACHE = 600_000
 
@@ -50,12 +51,12 @@ def encoder(path: str):
     """text -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer cuts a text into words first and encodes each on its own, so words are encoded once and
-    remembered. Strings of special tokens count as ordinary text."""
+    remembered. Texts that hold the string of a special token, whose id the tokenizer gives, are encoded whole by it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)").search
     # the byte-level cut, with white space as Unicode defines it
     space = r"\p{White_Space}"
     cut = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?!\P{{White_Space}})|{space}+").findall
@@ -78,6 +79,9 @@ def encoder(path: str):
     find = Words().__getitem__
 
     def encode(text: str) -> bytes:
+        if special(text):
+            ids = own(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
         return b"".join(map(find, cut_plain(text) if plain(text) else cut(text)))
 
     return encode
@@ -177,7 +181,12 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> di
 
 
 def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths in a sequence, how many sequences) so that every length is used exactly as often as it occurs."""
+    """(lengths in a sequence, how many sequences) so that every length is used exactly as often as it occurs.
+
+    The program is solved, rounded up, and solved again for what that left, as long as it places pieces: first by configurations
+    that leave at most SPARE tokens free, then by all. The last few pieces go by best fit, as counts of lengths. Where few pieces
+    make rounding up costly, by more than one sequence in a thousand, the first solution is rounded down and best fit takes
+    what is left."""
     size = np.array(sorted(lengths), np.int64)
     count = np.array([c for _, c in sorted(zip(lengths, counts, strict=True))], np.int64)
     out: list[tuple[list[int], int]] = []
@@ -185,15 +194,32 @@ def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> lis
     if full.any() and count[full][0]:
         out.append(([capacity], int(count[full][0])))
     size, left = size[~full], count[~full].copy()
-    if len(size):
-        x = configurations(size, left, capacity)
-        waste = lambda c: capacity - int(size[list(c)].sum())
-        # whole parts of configurations that leave next to nothing free; what they leave of the short lengths closes the rest
-        for c, amount in sorted(x.items(), key=lambda z: (waste(z[0]), -z[1], z[0])):
-            if waste(c) <= SPARE:
-                _use(c, int(amount), size, left, out)
-        _fill(size, left, capacity, out)
-    return out
+    whole: list[tuple[list[int], int]] = []
+    rest = _solved(size, left, capacity, SPARE, SOLVES, math.ceil, whole)
+    _fill(size, _solved(size, rest, capacity, capacity, SOLVES, math.ceil, whole), capacity, whole)
+    part: list[tuple[list[int], int]] = []
+    _fill(size, _solved(size, left, capacity, SPARE, 1, math.floor, part), capacity, part)
+    by = [sum(n for _, n in x) for x in (whole, part)]
+    return out + (whole if by[0] <= 1.001 * by[1] else part)
+
+
+def _solved(size: np.ndarray, left: np.ndarray, capacity: int, spare: int, solves: int, whole: Callable[[float], int], out: list) -> np.ndarray:
+    """What is left after configurations with at most `spare` free tokens, each as often as the program says, made whole."""
+    left = left.copy()
+    for _ in range(solves):
+        some = np.flatnonzero(left)
+        before = int(left.sum())
+        if not before:
+            break
+        own, rest = size[some], left[some]
+        waste = lambda c: capacity - int(own[list(c)].sum())  # noqa: B023, E731
+        for c, amount in sorted(configurations(own, rest, capacity).items(), key=lambda z: (waste(z[0]), -z[1], z[0])):
+            if waste(c) <= spare:
+                _use(c, whole(amount), own, rest, out)
+        left[some] = rest
+        if rest.sum() > 0.8 * before:
+            break
+    return left
 
 
 def _use(config: tuple[int, ...], most: int, size: np.ndarray, left: np.ndarray, out: list) -> None:
@@ -208,31 +234,36 @@ def _use(config: tuple[int, ...], most: int, size: np.ndarray, left: np.ndarray,
 
 
 def _fill(size: np.ndarray, left: np.ndarray, capacity: int, out: list) -> None:
-    """Best fit for what rounding left, longest pieces first: each goes to the open sequence with the least room that holds it.
-
-    Open sequences are ordered by room; how many pieces come here is bounded by the number of configurations."""
-    rooms: list[int] = []  # of open sequences, ascending
-    which: list[int] = []
-    made: list[list[int]] = []
-    for i in range(len(size) - 1, -1, -1):
-        length = int(size[i])
-        for _ in range(int(left[i])):
+    """Best fit for counts of lengths, the longest first: each goes to the open sequences with the least room that holds it.
+
+    Sequences filled alike are one group with a count, so the work grows with the number of lengths, not of pieces."""
+    rooms: list[int] = []  # of groups of open sequences, ascending
+    groups: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def put(pattern: tuple[int, ...], n: int, room: int) -> None:
+        if room not in groups:
+            groups[room] = {}
+            insort(rooms, room)
+        groups[room][pattern] = groups[room].get(pattern, 0) + n
+
+    for length, n in zip(size[::-1].tolist(), left[::-1].tolist(), strict=True):
+        while n:
             at = bisect_left(rooms, length)
-            if at == len(rooms):
-                number, room = len(made), capacity
-                made.append([])
+            if at < len(rooms):
+                room = rooms[at]
+                pattern, had = groups[room].popitem()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+                used = min(n, had)
+                if had > used:
+                    put(pattern, had - used, room)
+                put((*pattern, length), used, room - length)
+                n -= used
             else:
-                number, room = which.pop(at), rooms.pop(at)
-            made[number].append(length)
-            if room > length:
-                at = bisect_left(rooms, room - length)
-                rooms.insert(at, room - length)
-                which.insert(at, number)
-    left[:] = 0
-    same: dict[tuple[int, ...], int] = {}
-    for m in made:
-        same[tuple(m)] = same.get(tuple(m), 0) + 1
-    out += [(list(m), n) for m, n in same.items()]
+                each = min(n, capacity // length)
+                put((length,) * each, n // each, capacity - each * length)
+                n -= n // each * each
+    out += [(list(p), n) for by in groups.values() for p, n in by.items()]
 
 
 def runs(patterns: list[tuple[list[int], int]]) -> np.ndarray:
@@ -250,19 +281,20 @@ def runs(patterns: list[tuple[list[int], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset; pieces needs doc_id, piece, start, length (1 to capacity), and is read twice.
+    """pieces with sequence_id and offset; pieces needs doc_id, piece, start, length (1 to capacity), ids_crc32, and is read twice.
 
     Equal lengths may change places; repeated rows take places of their own. No pieces: no rows. The ranks of one
-    length, however common, are counted in SALTS parts."""
+    length, however common, are counted in parts of about PART pieces, SALTS at least."""
     spark = pieces.sparkSession
     hist = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     table_ = runs(plan([r["length"] for r in hist], [r["n"] for r in hist], capacity)) if hist else np.zeros((0, 5), np.int64)
     shared = spark.sparkContext.broadcast(table_)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max([SALTS, *(-(-r["n"] // PART) for r in hist)])
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
+    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(w) - 1).join(counts, ["length", "salt"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).drop("salt", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

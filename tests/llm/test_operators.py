@@ -312,6 +312,11 @@ def test_plan_uses_every_piece_once():
             assert sum(c for _, c in patterns) <= 1.02 * total / 2048 + 1
 
 
+def test_plan_of_many_pieces_of_one_length():
+    assert packing.plan([1500], [400_000]) == [([1500], 400_000)]
+    assert sum(n for _, n in packing.plan([1500, 500], [400_000, 300_000])) == 400_000
+
+
 def test_plan_is_tight_where_pieces_fit_in_pairs():
     lengths = [100 + i for i in range(900)]
     patterns = packing.plan([*lengths, *[2048 - x for x in lengths]], [3] * 1800)
@@ -331,12 +336,12 @@ def test_encoder_equals_the_tokenizer():
 
     path = packing.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    assert np.frombuffer(packing.encoder(path)("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
     rng = random.Random(8)
     letters = "aé 'sxyzß\n\t   \x1c\x85　😀1²½³,.!?<|endoftext|>_-中文नमस्ते‍﻿\x00"
     encode = packing.encoder(path)
     for _ in range(3000):
-        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + rng.choice(["", "", "<|endoftext|>", "<|endoftext|> x"])
         assert encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
