@@ -79,11 +79,11 @@ def exact_duplicates(d: Dialect) -> str:
 
 
 def store_size(d: Dialect) -> str:
-    """Uncompressed container sizes: frame, contents, table of paths; and whether half the bytes would beat it."""
+    """Uncompressed container sizes: frame, contents, table of paths."""
     path = f"{d.n_bytes('concat(source, chr(47), cast(doc_id AS ' + d.text + '))')}"
     return (
-        f"SELECT source, cast(count(*) AS bigint) AS files, cast(sum({d.n_bytes('text')}) AS bigint) AS raw_bytes, cast(42 + 8 + sum({d.n_bytes('text')}) + 36 + sum(2 + {path} + 8) AS bigint) AS store_bytes, "
-        f"42 + 8 + sum({d.n_bytes('text')}) + 36 + sum(2 + {path} + 8) < sum({d.n_bytes('text')}) / 2 AS store_wins FROM documents WHERE text IS NOT NULL GROUP BY source"
+        f"SELECT source, cast(count(*) AS bigint) AS files, cast(sum({d.n_bytes('text')}) AS bigint) AS raw_bytes, cast(42 + 8 + sum({d.n_bytes('text')}) + 36 + sum(2 + {path} + 8) AS bigint) AS store_bytes "
+        f"FROM documents WHERE text IS NOT NULL GROUP BY source"
     )
 
 

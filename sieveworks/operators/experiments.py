@@ -57,8 +57,11 @@ def speedup_matrix(d: Dialect) -> str:
 
 
 def archive_ratio(d: Dialect) -> str:
-    """Kept share of raw bytes by source; 1 where there are none."""
-    return f"SELECT source, cast(sum({d.n_bytes('text')}) AS bigint) AS raw, round(CASE WHEN sum({d.n_bytes('text')}) = 0 THEN 1.0e0 ELSE cast(count(DISTINCT text) AS double) / count(*) END, 6) AS ratio FROM documents GROUP BY source"
+    """Archive size by raw bytes of each source, whose archive keeps every distinct text once: frame, contents, closing table; 1 where there are no bytes."""
+    n = d.n_bytes("text")
+    once = f"SELECT source, count(*) AS k, sum({n}) AS raw, min({n}) AS kept FROM documents WHERE text IS NOT NULL GROUP BY source, text"
+    size = "42 + 8 + sum(kept) + 36 + 8 * sum(k)"
+    return f"SELECT source, cast(sum(raw) AS bigint) AS raw, cast({size} AS bigint) AS archive, round(CASE WHEN sum(raw) = 0 THEN 1.0e0 ELSE cast({size} AS double) / sum(raw) END, 6) AS ratio FROM ({once}) t GROUP BY source"
 
 
 def class_harvest(d: Dialect, budget: int = 40000) -> str:

@@ -57,10 +57,13 @@ def gc_remap(d: Dialect) -> str:
 
 
 def gc_windows(d: Dialect, interval: int = 64, lag: int = 16) -> str:
-    """Rules (here event types of users) that survive each window of `interval` uses: last use plus lag reaches the window."""
+    """Rules (here classes of users) at the end of every window of `interval` uses: whether the last use so far, or with a lag above 1
+    the last use plus the lag, reaches the start of the window; over all rules used by then, also those the window does not use."""
     return (
-        f"WITH u AS (SELECT user_id AS rule, event_id AS seq, {d.div('event_id', str(interval))} AS w FROM events), k AS (SELECT rule, w, max(seq) AS last_use FROM u GROUP BY rule, w) "
-        f"SELECT rule, cast(w AS bigint) AS w, last_use, last_use + {lag} >= (w + 1) * {interval} AS survives FROM k"
+        f"WITH u AS (SELECT user_id % 97 AS rule, event_id AS seq, {d.div('event_id', str(interval))} AS w FROM events), k AS (SELECT rule, w, max(seq) AS used FROM u GROUP BY rule, w), "
+        f"g AS (SELECT r.rule, x.w FROM (SELECT DISTINCT rule FROM k) r CROSS JOIN (SELECT DISTINCT w FROM k) x), "
+        f"l AS (SELECT g.rule, g.w, max(k.used) OVER (PARTITION BY g.rule ORDER BY g.w) AS last_use FROM g LEFT JOIN k ON k.rule = g.rule AND k.w = g.w) "
+        f"SELECT rule, cast(w AS bigint) AS w, last_use, last_use >= w * {interval} OR {lag} > 1 AND last_use + {lag} >= w * {interval} AS survives, last_use >= w * {interval} AS survives_lag_1 FROM l WHERE last_use IS NOT NULL"
     )
 
 
@@ -96,16 +99,18 @@ def parameter_word(d: Dialect) -> str:
 
 def context_map(d: Dialect) -> str:
     """Context of each symbol: its own below 256; in the small map eight cold classes, in the large one 192 hot rules first; then the sentinel's."""
-    cold = lambda first, n: f"{first} + {d.rshift('((sym - 256) * 2654435761 % 4294967296)', 29)} % {n}"
+    cold = lambda first: f"{first} + (sym - {first}) * 2654435769 % 8"
     return (
-        f"SELECT sym, cast(CASE WHEN sym < 256 THEN sym ELSE {cold(256, 8)} END AS bigint) AS small, cast(CASE WHEN sym < 448 THEN sym ELSE {cold(448, 8)} END AS bigint) AS large, "
+        f"SELECT sym, cast(CASE WHEN sym < 256 THEN sym ELSE {cold(256)} END AS bigint) AS small, cast(CASE WHEN sym < 448 THEN sym ELSE {cold(448)} END AS bigint) AS large, "
         f"cast(264 AS bigint) AS small_sentinel, cast(456 AS bigint) AS large_sentinel FROM (SELECT {d.series('0', '4095', 'sym')}) t"
     )
 
 
 def order2_bucket(d: Dialect) -> str:
-    """Order-2 bucket of a pair of symbols, among 4096: products stay below 2**63."""
-    return f"SELECT l_partkey, l_suppkey, cast((l_partkey % 4096 * 40503 + l_suppkey % 4096 * 30011) % 4096 AS bigint) AS bucket, cast(count(*) AS bigint) AS n FROM lineitem GROUP BY l_partkey, l_suppkey"
+    """Order-2 bucket of a symbol of 16 bits and the one before it, among 1024: two products, combined by exclusive or."""
+    xor = "({} ^ {})" if d.spark else "xor({}, {})"
+    bucket = xor.format("prev * 2654435769", "prev2 * 3210233709")
+    return f"SELECT prev, prev2, cast({bucket} % 1024 AS bigint) AS bucket, cast(count(*) AS bigint) AS n FROM (SELECT l_partkey % 65536 AS prev, l_suppkey % 65536 AS prev2 FROM lineitem) t GROUP BY prev, prev2"
 
 
 def fnv1a(d: Dialect) -> str:

@@ -51,6 +51,19 @@ def of_chunks(operator: Callable[[DataFrame], DataFrame], size: int = 4096) -> Q
     return run
 
 
+def store_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether storing a source's files uncompressed is smaller than its compressed container: the best sizes of its unique chunks,
+    frame and table, 8 bytes for each reference."""
+    register(spark, sf_dir)
+    pieces = spark.sql(chunks.pieces(SPARK, 16384)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    each = pieces.groupBy("source", F.sha2("hx", 256).alias("chunk")).agg(F.count("*").alias("refs"))
+    unique = pieces.groupBy(F.sha2("hx", 256).alias("chunk")).agg(F.first("hx").alias("hx"))
+    sizes = codecs.mode_sizes(unique.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")).select("chunk", "best")
+    packed = each.join(sizes, "chunk").groupBy("source").agg((42 + 8 + F.sum("best") + 36 + 8 * F.sum("refs")).cast("long").alias("packed_bytes"))
+    sizes = spark.sql(chunks.store_size(SPARK)).join(packed.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+    return sizes.withColumn("store_wins", F.col("store_bytes") < F.col("packed_bytes"))
+
+
 def train_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.train_dictionary(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
@@ -91,8 +104,9 @@ _ENTROPY = f"WITH {_BYTES}, c AS (SELECT doc_id, v, count(*) AS n FROM v GROUP B
 _SIG = f"WITH {_BYTES}, c AS (SELECT doc_id, v // 16 AS k, count(*) AS n FROM v GROUP BY ALL), g AS (SELECT doc_id, k, coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY doc_id))::DOUBLE AS x FROM (SELECT DISTINCT doc_id FROM c) a CROSS JOIN range(16) r(k) LEFT JOIN c USING (doc_id, k))"
 
 OWN: dict[str, tuple[Query, str | None]] = {
-    "mode_sizes": (of_chunks(codecs.mode_sizes), None),
-    "block_modes": (of_chunks(lambda c: codecs.mode_sizes(c).groupBy("mode").agg(F.count("*").alias("chunks"), F.sum("raw").alias("raw"), F.sum("best").alias("best"))), None),
+    "mode_sizes": (of_chunks(codecs.mode_sizes, 16384), None),
+    "block_modes": (of_chunks(lambda c: codecs.mode_sizes(c).groupBy("mode").agg(F.count("*").alias("chunks"), F.sum("raw").alias("raw"), F.sum("best").alias("best")), 16384), None),
+    "store_decision": (store_decision, None),
     "fold_sweep": (of_chunks(codecs.fold_sweep, 16384), None),
     "train_dictionary": (train_dictionary, None),
     "dictionary_cover": (dictionary_cover, None),
