@@ -45,6 +45,10 @@ NOT_ARTICLE = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist respond replies disqus discussion reactions share sharing social related recommended recommendations widget widgets toolbar contentinfo form search skip".split()
 )
+#: Of these, the words that count in a paragraph, too; the others mark containers only.
+NOT_TEXT = frozenset("ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent".split())
+#: A marked container that holds this share of the page's text is its article whatever it is called.
+MOST_TEXT = 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -55,33 +59,49 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its children are nodes and texts."""
 
-    __slots__ = ("tag", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone")
+    __slots__ = ("tag", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "named")
 
-    def __init__(self, tag: str, gone: bool = False):
-        self.tag, self.gone = tag, gone
+    def __init__(self, tag: str, gone: bool = False, named: bool = False):
+        # gone: not wanted; named: only by words of class, id or role
+        self.tag, self.gone, self.named = tag, gone, named
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not wanted, and whether only words of its class, id or role say so."""
     if tag in GONE or tag == "header" and not inside_article:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
-            return True
+            return True, False
         if name in ("class", "id", "role"):
-            value = html.unescape("".join(values))
-            words = {w.lower() for w in SPLIT.split(value)}
+            words = {w.lower() for w in SPLIT.split(html.unescape("".join(values)))} & (NOT_TEXT if tag in FLOW else NOT_ARTICLE)
             # an article that is named after its header or its form is an article still
-            if words & NOT_ARTICLE and tag not in ARTICLE and not (words & {"header", "form"} and not words & (NOT_ARTICLE - {"header", "form"}) and inside_article):
-                return True
+            named |= bool(words) and tag not in ARTICLE and not (inside_article and words <= {"header", "form"})
         elif name == "style" and HIDDEN.search("".join(values)) or name == "aria-hidden" and "".join(values).lower() == "true":
-            return True
-    return False
+            return True, False
+    return named, named
+
+
+def _spare(root: Node) -> None:
+    """Containers that only their names mark are wanted if they hold most of the page's text."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo.extend(k for k in n.kids if isinstance(k, Node) and (not k.gone or k.named))
+    held: dict[int, int] = {}
+    for n in reversed(nodes):
+        held[id(n)] = sum(len(k) - k.count(" ") - k.count("\n") if isinstance(k, str) else held.get(id(k), 0) for k in n.kids)
+    for n in nodes:
+        if n.named and held[id(n)] >= MOST_TEXT * held[id(root)]:
+            n.gone = False
 
 
 def parse(page: str) -> Node:
@@ -114,7 +134,7 @@ def parse(page: str) -> Node:
             text(page[at:])
             break
         m = TOKEN.match(page, lt)
-        if m and m.end() == end and m[3] and (end - lt) > 2000 and not page.endswith(">"):
+        if not m or m[3] and m.end() == end and page[-1] != ">":
             m = LOOSE.match(page, lt) or m  # a quote that never closes
         if not m:
             text(page[at : lt + 1])
@@ -145,7 +165,7 @@ def parse(page: str) -> Node:
                 pop_to(len(stack) - 1)
         if tag in IMPLIED:
             implied(*IMPLIED[tag])
-        node = Node(tag, _unwanted(tag, attributes, depth > 0))
+        node = Node(tag, *_unwanted(tag, attributes, depth > 0))
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -155,6 +175,7 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
             stack.append(node)
             depth += tag in ARTICLE
+    _spare(root)
     return root
 
 
@@ -196,8 +217,8 @@ def main_node(root: Node) -> tuple[Node, float]:
 
     Equal sums: the outer, then the earlier. If an article or main element holds the choice, the outermost such
     element is taken. Else the choice widens to the child of the body that holds it, together with the body's own
-    texts, headings and paragraphs, and with containers that reach the threshold, a quarter of the largest sum, and
-    have less than a third of their text in links."""
+    texts, headings and paragraphs, and with containers that have no link, or reach the threshold and have less
+    than a third of their text in links."""
     nodes = measure(root)
     parent = {id(k): n for n in nodes for k in n.kids if isinstance(k, Node)}
     best = root
@@ -216,7 +237,7 @@ def main_node(root: Node) -> tuple[Node, float]:
         return root, limit
     own = line[-2]
     around = Node("body")
-    around.kids = [k for k in root.kids if isinstance(k, str) or k is own or k.tag in FLOW or k.density >= limit and k.total >= 0.25 * best.total and 3 * k.link_chars < k.chars]
+    around.kids = [k for k in root.kids if isinstance(k, str) or k is own or k.tag in FLOW or not k.link_chars or k.density >= limit and 3 * k.link_chars < k.chars]
     return around, limit
 
 
@@ -284,5 +305,6 @@ def extract(pages: DataFrame, *, source: str = "html") -> tuple[DataFrame, str]:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars: one row for every page, repeated ones too; null, empty and textless pages have an empty text."""
     out, name = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))

@@ -10,8 +10,8 @@ replies to; replies chain to threads, and conversations are given in thread orde
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .common import mapped, table, written
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 #: The line that announces a quote goes with it.
-ANNOUNCE = re.compile(r"^(on .{0,200} wrote|.{0,100} (wrote|schrieb|a écrit|escribió)) ?:$", re.I)
+ANNOUNCE = re.compile(r"^.*\b(wrote|schrieb|a écrit|escribió) ?:$", re.I)
 
 
 def normal(text: str) -> str:
@@ -30,9 +30,8 @@ def normal(text: str) -> str:
 
 
 def digest(text: str) -> int:
-    """A 63-bit number for a normalised passage."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) << 31) ^ zlib.crc32(raw[::-1] + b"|") & ((1 << 63) - 1)
+    """A 63-bit number for a normalised passage, of a cryptographic hash: different passages do not meet."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
 def level(line: str) -> tuple[int, str]:
@@ -134,4 +133,7 @@ def conversations(messages: DataFrame, **columns: str) -> DataFrame:
 
 
 def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations")).drop("links")
+    """conv_id, turn, role, text, reply_to, thread, n_quotes, links: every message without its quotes, in reply order.
+
+    Null texts are empty messages; null conversations or turns link nothing; repeated rows are kept and linked alike."""
+    return conversations(table(spark, sf_dir, "conversations"))

@@ -2,24 +2,26 @@
 
 A query's terms are its dimensions. Within a shard (a batch of vectors) every term has postings,
 the shard's values of that dimension, and a score bound, the most that any posting can add. Terms
-are ordered by how far their bound lies above the least they add; a suffix whose bounds together
-cannot lift any vector over the query's current k-th score is non-essential. The essential terms'
-postings are traversed for all vectors; the non-essential ones are probed in groups, each time only
-for vectors that can still compete. Shards keep their best k; a merge over shards gives the result.
+are ordered by how far their bound lies above the least they add. The longest run of last terms that together
+cannot lift a vector from the least of all scores to the query's current k-th score is non-essential; before there are k
+scores, all terms are essential. The essential terms' postings are traversed for all vectors; the non-essential ones are
+probed in groups, each time only for vectors that can still compete. Shards keep their best k; a merge over shards
+gives the result.
 
-Scores are sums of products of integers below 2**53, so double arithmetic is exact.
+While sums of products stay below 2**53, double arithmetic is exact; larger ones are summed as whole numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, table, written
 
 #: Queries that one pass over the vectors carries; the bound of what is broadcast.
 PASS = 8192
@@ -43,8 +45,9 @@ def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int, floor:
     # what terms from place i on can add at most, and what that is above the least
     rest = np.concatenate([np.cumsum(most[terms][::-1])[::-1], [0.0]])
     slack = np.concatenate([np.cumsum((most - least)[terms][::-1])[::-1], [0.0]])
-    # essential: the terms whose slack is not below a quarter of all slack together
-    at = max(1, int(np.searchsorted(-slack, -slack[0] / 4)))
+    # non-essential: the last terms whose slack does not lift the least score to the floor
+    at = max(1, len(terms) - int(np.searchsorted(slack[::-1], floor - rest[0] + slack[0], side="left")) + 1) if floor > -np.inf else len(terms)
+    at = min(at, len(terms))
     rows = np.flatnonzero(ids != own)
     part = v[:, terms[:at]] @ q[terms[:at]]
     part = part[rows]
@@ -69,8 +72,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_
 
     Both frames hold ids and vectors; components become floor(scale * x). Unusable vectors take no part, as query or
     as candidate; neither do rows without id, nor candidates whose length differs from the query's. Repeated rows
-    count as often as they stand, in any order. Queries go out in passes of PASS by hash, so what is broadcast is
-    bounded; every pass reads the vectors once. No queries or no vectors: no rows."""
+    count as often as they stand, in any order. Queries go out in passes of PASS by hash, and each pass is written before the
+    next begins, so what is collected and broadcast is bounded; every pass reads the vectors once. A score beyond 64 bits is an
+    error. No queries or no vectors: no rows."""
     spark = vectors.sparkSession
     ready = lambda df: df.where(F.col(ident).isNotNull() & usable(F.col(vector))).select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     own, all_rows = ready(queries), ready(vectors)
@@ -80,7 +84,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_
     out = None
     for i in range(passes):
         rows = own.where(slot == i).collect()
-        found = mapped(all_rows, _shards(spark, [(r["id"], r["v"]) for r in rows], k), "query_id long, vec_id long, score long")
+        run, shared = _shards(spark, [(r["id"], r["v"]) for r in rows], k)
+        found = mapped(all_rows, run, "query_id long, vec_id long, score long")
+        if passes > 1:
+            found = written(found, "topk-pass")
+            shared.unpersist()
         out = found if out is None else out.union(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -108,9 +116,10 @@ def _shards(spark: SparkSession, queries: list[tuple[int, list[float]]], k: int)
                 if not len(rows):
                     continue
                 v = flat[starts[rows][:, None] + np.arange(size)[None, :]].reshape(len(rows), size)
-                if size and np.abs(v).max() * np.abs(q).max(initial=0) * size >= EXACT:
-                    raise ValueError("vector components are too large for exact scores")
+                exact = not size or np.abs(v).max() * np.abs(q).max(initial=0) * size < EXACT
                 ids = ids_all[rows]
+                if not exact:
+                    whole = [[int(x) for x in row] for row in v]
                 low, high = (v.min(axis=0), v.max(axis=0)) if size else (np.zeros(0), np.zeros(0))
                 for j in range(len(names)):
                     had = kept.get((size, j))
@@ -119,9 +128,16 @@ def _shards(spark: SparkSession, queries: list[tuple[int, list[float]]], k: int)
                         at = np.flatnonzero(ids != names[j])
                         at = at[np.argsort(ids[at], kind="stable")][:k]
                         s = np.zeros(len(at))
+                    elif not exact:
+                        own = [int(x) for x in q[j]]
+                        s = np.array([sum(map(mul, own, row)) for row in whole], np.int64)
+                        at = np.flatnonzero(ids != names[j])
+                        at = at[np.lexsort((ids[at], -s[at]))][:k]
+                        s = s[at]
                     else:
                         s, at = best(q[j], v, ids, int(names[j]), k, floor, low, high)
                     got = ids[at]
+                    s = s.astype(np.int64)
                     if had is not None:
                         s, got = np.concatenate([had[0], s]), np.concatenate([had[1], got])
                         order = np.lexsort((got, -s))[:k]
@@ -129,9 +145,9 @@ def _shards(spark: SparkSession, queries: list[tuple[int, list[float]]], k: int)
                     kept[size, j] = s, got
         for (size, j), (s, got) in kept.items():
             names = shared.value[size][0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), names[j])), pa.array(got), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), names[j])), pa.array(got), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    return run
+    return run, shared
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,9 +453,72 @@ def test_topk(spark):
     assert topk.search(table.where("vec_id < 3"), table.where("vec_id = 0"), 10).count() == 2
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(17)
+    v = (rng.normal(size=(120, 4)) * 1e5).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist(), "x") for i, x in enumerate(v)], "vec_id long, embedding array<float>, score string")
+    out = topk.search(table, table.where("vec_id % 100 = 0"), 5).collect()
+    w = [[int(np.floor(1024 * float(x))) for x in row] for row in v]
+    for q in (0, 100):
+        want = sorted((-sum(a * b for a, b in zip(w[q], w[j])), j) for j in range(120) if j != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_topk_splits_by_the_threshold():
+    """Whatever floor is given, the best k that reach it come out."""
+    rng = np.random.default_rng(3)
+    v, q = np.floor(rng.normal(size=(500, 24)) * 1000), np.floor(rng.normal(size=24) * 1000)
+    ids = np.arange(500)
+    full = v @ q
+    order = np.lexsort((ids, -full))[:10]
+    for floor in (-np.inf, full[order[-1]], full[order[3]], full.max(), full.max() + 1):
+        s, at = topk.best(q, v, ids, -1, 10, floor, v.min(axis=0), v.max(axis=0))
+        assert [i for i, x in zip(at, s) if x >= floor] == [i for i in order if full[i] >= floor]
+
+
 # 8
 
 
+def brute_links(messages):
+    """(conv, turn) to reply_to: for every message the earlier one that first says most words of its level-1 quotes."""
+    found = {}
+    for conv, turn, text in messages:
+        votes = {}
+        for passage in {" ".join(x[2:].split()).lower() for x in text.split("\n") if x.startswith("> ") and not x.startswith("> >")}:
+            said = [t for c, t, other in messages if c == conv and any(" ".join(x.split()).lower() == passage for x in other.split("\n") if not x.startswith(">"))]
+            if said and min(said) < turn:
+                votes[min(said)] = votes.get(min(said), 0) + len(passage.split())
+        found[conv, turn] = max(votes, key=lambda t: (votes[t], t)) if votes else None
+    return found
+
+
+def test_quotations_against_brute_force(spark):
+    rng = random.Random(11)
+    messages = []
+    for conv in range(12):
+        lines = []
+        for turn in range(rng.randint(1, 9)):
+            own = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(rng.randint(2, 5))) for _ in range(3)]
+            quoted = [f"> {x.upper() if rng.random() < 0.2 else x}" for x in rng.sample(lines, min(len(lines), rng.randint(0, 2)))]
+            messages.append((conv, turn, "\n\n".join(quoted + own)))
+            lines += own
+    rows = [(c, t, "user", x, 1) for c, t, x in messages]
+    out = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, thread int")).collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in out} == brute_links(messages)
+    assert any(r["reply_to"] is not None for r in out) and not any(">" in r["text"] for r in out)
+
+
+def test_quotations_odd_rows(spark, tmp_path):
+    long = "> word\n" * 50000 + "x"
+    rows = [(1, 0, "u", "word"), (1, 1, "u", long), (1, 1, "u", long), (None, None, None, None), (2, 0, "u", "")]
+    docs = spark.createDataFrame([(*r, "y", 1) for r in rows], "conv_id long, turn long, role string, text string, links string, own int")
+    sf = written(spark, docs, tmp_path, "conversations")
+    out = queries.QUERIES["op8_quotations"](spark, sf).collect()
+    assert len(out) == 5 and [r["reply_to"] for r in out if r["turn"] == 1] == [0, 0] and [r["text"] for r in out if r["turn"] == 1] == ["x", "x"]
+    sf = written(spark, docs.limit(0), tmp_path, "conversations")
+    assert queries.QUERIES["op8_quotations"](spark, sf).count() == 0
+
+
 def test_quotations(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you?\n\nSecond  para"), (1, 1, "assistant", "> how are you?\nFine."), (1, 2, "user", "On x Bob wrote:\n> > how are you?\n> Fine.\nGood!"), (1, 3, "user", "> hello THERE how are\n> you?\nyes"), (1, 4, "user", "plain > text"), (2, 0, None, None), (None, None, None, "> a"), (1, 4, "user", "plain > text"), (2, 1, "user", "> Fine.")]
     out = quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -537,6 +600,18 @@ def test_html():
     assert html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
 
 
+def test_html_names_are_weak_evidence():
+    long = "<p>A paragraph of the article that says a good deal about things.</p>" * 4
+    page = lambda body: html_text.main_text(f"<html><body>{body}</body></html>")
+    want = "\n\n".join(["A paragraph of the article that says a good deal about things."] * 4)
+    assert page(f'<article><div>{long}<p class="social">People are a social species.</p><p class="share-price">Up.</p></div></article>') == want + "\n\nPeople are a social species.\n\nUp."
+    assert page(f'<div class="related"><article>{long}</article></div>') == page(f'<div id="form-post">{long}</div>') == want
+    assert page(f"<div>{long}</div><div><p>The end, in short.</p></div>") == want + "\n\nThe end, in short."
+    assert page(f'<div>{long}</div><div class="related"><p>Other things that you may like to read today.</p></div>') == want
+    assert html_text.main_text('<p class="x>rest of text here') == html_text.main_text('<p class="x>rest of text here' + " " * 3000) == "rest of text here"
+    assert page(f'<div class="ad"><p>Buy this now.</p></div><div>{long}</div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>') == want
+
+
 def test_html_of_tables(spark, data):
     import html
 
