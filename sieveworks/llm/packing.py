@@ -194,26 +194,30 @@ def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY) -> lis
     if full.any() and count[full][0]:
         out.append(([capacity], int(count[full][0])))
     size, left = size[~full], count[~full].copy()
+    solution = configurations(size[left > 0], left[left > 0], capacity) if left.any() else {}
     whole: list[tuple[list[int], int]] = []
-    rest = _solved(size, left, capacity, SPARE, SOLVES, math.ceil, whole)
+    rest = _solved(size, left, capacity, SPARE, SOLVES, math.ceil, whole, solution)
     _fill(size, _solved(size, rest, capacity, capacity, SOLVES, math.ceil, whole), capacity, whole)
     part: list[tuple[list[int], int]] = []
-    _fill(size, _solved(size, left, capacity, SPARE, 1, math.floor, part), capacity, part)
+    _fill(size, _solved(size, left, capacity, SPARE, 1, math.floor, part, solution), capacity, part)
     by = [sum(n for _, n in x) for x in (whole, part)]
     return out + (whole if by[0] <= 1.001 * by[1] else part)
 
 
-def _solved(size: np.ndarray, left: np.ndarray, capacity: int, spare: int, solves: int, whole: Callable[[float], int], out: list) -> np.ndarray:
-    """What is left after configurations with at most `spare` free tokens, each as often as the program says, made whole."""
+def _solved(size: np.ndarray, left: np.ndarray, capacity: int, spare: int, solves: int, whole: Callable[[float], int], out: list, first: dict[tuple[int, ...], float] | None = None) -> np.ndarray:
+    """What is left after configurations with at most `spare` free tokens, each as often as the program says, made whole.
+
+    first: the program's solution for `left`, if it is known."""
     left = left.copy()
-    for _ in range(solves):
+    for k in range(solves):
         some = np.flatnonzero(left)
         before = int(left.sum())
         if not before:
             break
         own, rest = size[some], left[some]
+        solution = first if k == 0 and first is not None else configurations(own, rest, capacity)
         waste = lambda c: capacity - int(own[list(c)].sum())  # noqa: B023, E731
-        for c, amount in sorted(configurations(own, rest, capacity).items(), key=lambda z: (waste(z[0]), -z[1], z[0])):
+        for c, amount in sorted(solution.items(), key=lambda z: (waste(z[0]), -z[1], z[0])):
             if waste(c) <= spare:
                 _use(c, whole(amount), own, rest, out)
         left[some] = rest
