@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,25 @@ def discard(*tables: DataFrame) -> None:
 _shipped: set[str] = set()
 
 
-def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package sent to the executors once, wherever they run."""
+def give_back() -> None:
+    """Memory that the allocators hold and nothing uses goes back to the system: idle workers stand beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+#: Rows of a batch of texts that stands in memory at once, in the executor and in its Python worker.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run: Callable, schema, *, texts: bool = True) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once, wherever they run.
+
+    texts: rows may be long, so batches are of BATCH_ROWS rows, unless the session says how many."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if texts and df.sparkSession.conf.get(rows, None) is None:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -64,7 +83,12 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
-    return df.mapInArrow(run, schema)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidied, schema)
 
 
 def fresh(name: str, taken: list[str]) -> str:

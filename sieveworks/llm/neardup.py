@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, fresh, mapped, split_words, table, written
+from .common import ascii_lower, discard, fresh, give_back, mapped, split_words, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Branchings of a tree. More lose pairs at the threshold: with 10 trees 2e-4 after 3, 1e-3 after 4, 1e-2 after 7.
@@ -213,6 +213,8 @@ def forest(sets: pa.Table, similarity: float) -> pa.Table:
             stack.extend(found.tolist())
             links.append(np.stack([np.full(len(found), ids[x]), ids[found]]))
     a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+    if len(ids) > ROWS:
+        give_back()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 

@@ -37,7 +37,7 @@ ROUNDS, STEP, RATE = 160, 0.02, 12.0
 #: Tokens that a configuration may leave free at first; how often the program is solved for what rounding left.
 SPARE, SOLVES = 1, 4
 #: Words whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def tokenizer_path() -> str:

@@ -85,7 +85,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_
     for i in range(passes):
         rows = own.where(slot == i).collect()
         run, shared = _shards(spark, [(r["id"], r["v"]) for r in rows], k)
-        found = mapped(all_rows, run, "query_id long, vec_id long, score long")
+        found = mapped(all_rows, run, "query_id long, vec_id long, score long", texts=False)
         if passes > 1:
             found = written(found, "topk-pass")
             shared.unpersist()
