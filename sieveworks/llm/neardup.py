@@ -164,6 +164,17 @@ def relabelled(labels: DataFrame, moves: DataFrame) -> DataFrame:
     return labels.join(moves.withColumnsRenamed({"x": "c", "y": "to"}), "c", "left").select("id", F.coalesce("to", "c").alias("c"))
 
 
+def spokes(large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the records of large nodes (path, rep) with the PIVOTS pivots of their nodes.
+
+    Nodes of one group share their pivots: a record gathers those of all its nodes, and meets each of them once."""
+    names = [f"p{i}" for i in range(PIVOTS)]
+    pivots = large.groupBy("path").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(p) for i, p in enumerate(names)])
+    own = large.join(pivots, "path").groupBy("rep").agg(reduce(F.array_union, map(F.collect_set, names)).alias("own"))
+    each = own.select("rep", F.explode("own").alias("p")).where("rep <> p")
+    return each.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of record ids those whose full sets are similar: 100 * intersection >= 100 * similarity * union.
 
@@ -364,11 +375,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, ide
 
     pairs = small.select("path", F.col("r").alias("ra")).join(small.select("path", F.col("r").alias("rb")), "path").where("ra.rep < rb.rep")
     pairs = alike(pairs.select(F.col("ra.rep").alias("a"), F.col("rb.rep").alias("b"), "ra", "rb"))
-    # nodes of one group share their pivots, so that few pairs are made
-    pivots = large.groupBy("path").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-    spokes = large.join(pivots, "path").select("rep", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("rep <> p")
-    spokes = spokes.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-    pairs = pairs.union(alike(of(of(spokes, "a"), "b")))
+    pairs = pairs.union(alike(of(of(spokes(large), "a"), "b")))
     # each record's best pair with a smaller one
     best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "best-pairs", few=True)
     labels = components(confirmed(best, text_of, k, similarity), labels)

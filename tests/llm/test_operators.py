@@ -207,6 +207,40 @@ def test_near_duplicates_rare_links_in_a_large_group(spark, monkeypatch):
     assert {r["id"]: r["component"] for r in out} == {i: i - i % 2 if i < 400 else i for i in range(2000)}
 
 
+def executed(spark):
+    """The ids of the SQL executions that the session still tells of."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {found.apply(i).executionId() for i in range(found.size())}
+
+
+def generated(spark, before):
+    """Rows that each Generate made in executions that are not in `before`, by its text."""
+    made, store = {}, spark._jsparkSession.sharedState().statusStore()
+    for e in executed(spark) - before:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = (node.metrics().apply(j) for j in range(node.metrics().size() if node.name() == "Generate" else 0))
+            rows = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            made[node.desc()] = sum(int(r.get().replace(",", "")) for r in rows if r.isDefined())
+    return made
+
+
+def test_near_duplicates_meet_each_pivot_once(spark):
+    """300 near copies stand together in some 39 nodes of few pivots: each meets a pivot once, not once in every node."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{j}" for j in range(200)]
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    before = executed(spark)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r["id"]: r["component"] for r in out} == {i: 0 for i in range(300)}
+    made = [n for text, n in generated(spark, before).items() if re.search(r"\[rep#\d+L\], false, \[p#", text)]
+    assert made and 299 <= max(made) <= 300 * 20
+
+
 def test_near_duplicates_odd_rows(spark):
     out = {r["id"]: r["component"] for r in neardup.near_duplicates(odd_docs(spark, [(9, "one", None, None, None)])).collect()}
     assert out == {1: 1, 2: 2, 3: 3, 4: 4, 9: 3}
